@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from galleyproof.llm import decontam
+from galleyproof.llm import decontam, tokenfile
 
 QUERIES = {
+    "op2_token_binary_output": tokenfile.op2_token_binary_output,
     "op6_decontamination": decontam.op6_decontamination,
 }
 
