@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from galleyproof.llm import decontam, tokenfile
+from galleyproof.llm import decontam, mjpeg, tokenfile
 
 QUERIES = {
     "op2_token_binary_output": tokenfile.op2_token_binary_output,
+    "op9_media_columns": mjpeg.op9_media_columns,
     "op6_decontamination": decontam.op6_decontamination,
 }
 
