@@ -13,7 +13,6 @@ repeated documents each count by themselves; an empty benchmark leaves every doc
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 
