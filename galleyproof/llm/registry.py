@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from galleyproof.llm import decontam, mjpeg, repeats, spcodec, tokencounts, tokenfile
+from galleyproof.llm import decontam, htmltext, mjpeg, repeats, spcodec, tokencounts, tokenfile
 
 QUERIES = {
     "op2_token_binary_output": tokenfile.op2_token_binary_output,
     "op8_token_counts": tokencounts.op8_token_counts,
     "op10_sentencepiece_codec": spcodec.op10_sentencepiece_codec,
     "op5_suffix_array_dedup": repeats.op5_suffix_array_dedup,
+    "op1_html_extraction": htmltext.op1_html_extraction,
     "op9_media_columns": mjpeg.op9_media_columns,
     "op6_decontamination": decontam.op6_decontamination,
 }
