@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galleyproof.llm import decontam, htmltext, mjpeg, repeats, spcodec, tokencounts, tokenfile
+from galleyproof.llm import decontam, htmltext, mjpeg, repeats, spcodec, tokencounts, tokenfile, toxicity
 
 QUERIES = {
     "op2_token_binary_output": tokenfile.op2_token_binary_output,
@@ -10,6 +10,7 @@ QUERIES = {
     "op10_sentencepiece_codec": spcodec.op10_sentencepiece_codec,
     "op5_suffix_array_dedup": repeats.op5_suffix_array_dedup,
     "op1_html_extraction": htmltext.op1_html_extraction,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_media_columns": mjpeg.op9_media_columns,
     "op6_decontamination": decontam.op6_decontamination,
 }
