@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -43,7 +45,7 @@ FRAME_IDS = 1 << 16
 LEVEL = 1
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Words whose ids a worker keeps; beyond it the cache starts anew. Bounds memory, never results.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 900_000
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -62,6 +64,10 @@ class WordEncoder:
     """
 
     MARKS = ".,;:!?"
+    #: Letters that normalisation only lowers: these words go to the library's model past its normaliser and splitter.
+    LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+    #: Byte-level spelling of bytes that are not printable; the others spell themselves.
+    BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -75,6 +81,16 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
+        plain = self.LETTERS.fullmatch
+        rest = []
+        tokenize, code, spelling, known = self.tokenizer.model.tokenize, self.dtype.char, self.BYTES, self.known
+        for word in words:
+            if plain(word):
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(spelling)
+                known[word] = array(code, [t.id for t in tokenize(spelled)]).tobytes()
+            else:
+                rest.append(word)
+        words = rest
         for start in range(0, len(words), 20_000):
             part = words[start : start + 20_000]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -89,9 +105,10 @@ class WordEncoder:
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         parts: list[tuple[str, str]] = []
+        plain = self.LETTERS.fullmatch
         for word in distinct:
             stem = word.rstrip(self.MARKS)
-            parts.append((stem.lower(), word[len(stem) :]) if stem.isalpha() and stem.isascii() else (word, ""))
+            parts.append((stem.lower(), word[len(stem) :]) if plain(stem.lower()) else (word, ""))
         known = self.known
         fresh = {x for p in parts for x in p if x and x not in known}
         if len(known) + len(fresh) > CACHE_WORDS:
