@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galleyproof.llm import decontam, htmltext, mjpeg, ngramtrie, repeats, spcodec, tokencounts, tokenfile, toxicity
+from galleyproof.llm import decontam, htmltext, mjpeg, neardup, ngramtrie, repeats, spcodec, tokencounts, tokenfile, toxicity
 
 QUERIES = {
     "op2_token_binary_output": tokenfile.op2_token_binary_output,
@@ -12,6 +12,7 @@ QUERIES = {
     "op1_html_extraction": htmltext.op1_html_extraction,
     "op7_toxicity": toxicity.op7_toxicity,
     "op3_lm_scoring": ngramtrie.op3_lm_scoring,
+    "op4_ngram_jaccard_join": neardup.op4_ngram_jaccard_join,
     "op9_media_columns": mjpeg.op9_media_columns,
     "op6_decontamination": decontam.op6_decontamination,
 }
