@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 #: Text bytes that one chunk of an Arrow map gathers before it is worked on. Bounds a worker's memory; results do not depend on it.
 CHUNK_BYTES = 8 << 20
 #: Rows of one emitted Arrow batch.
-OUT_ROWS = 4096
+OUT_ROWS = 1024
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -28,7 +28,9 @@ from pyspark.sql import types as T
 from galleyproof.llm import common as C
 from galleyproof.llm import pieces as P
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+#: Text bytes that are matched at a time, and id lists that are decoded at a time. Bounds on memory; results do not depend on them.
+MATCH_BYTES, DECODE_ROWS = 2 << 20, 512
 BREAK = b"\xff"
 
 _codecs: dict[str, Codec] = {}
@@ -48,9 +50,6 @@ class Codec:
         self.high_key = self._keys([b for b, _, _ in own], b"\xff")
         self.fit: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
-        sizes = np.array([len(b) for b in vocabulary.output], np.int64)
-        self.out_size, self.out_start = sizes, np.cumsum(sizes) - sizes
-        self.out_bytes = np.frombuffer(b"".join(vocabulary.output), np.uint8)
 
     def _keys(self, pieces: list[bytes], fill: bytes) -> np.ndarray:
         return np.frombuffer(b"".join(p.ljust(self.longest, fill) for p in pieces), ">u8").reshape(len(pieces), -1).astype(np.uint64)
@@ -150,7 +149,7 @@ class Codec:
         word = np.searchsorted(stops, first)
         depth = end - begins[word]
         order = np.argsort(depth, kind="stable")
-        first, end, piece, depth, word = first[order], end[order], piece[order], depth[order], word[order]
+        first, end, piece, depth = first[order], end[order], piece[order], depth[order]
         last = np.full(len(text) + 1, -2, np.int64)
         back = np.zeros(len(text) + 1, np.int64)
         last[begins] = -1
@@ -223,10 +222,19 @@ class Codec:
             ids += [known] if known is not None else [int(self.vocab.byte_ids[b]) for b in part.encode()]
         return np.array(ids, "<u4").tobytes()
 
+
+class Decoder:
+    """Texts of ids; needs the pieces only, not the matching tables."""
+
+    def __init__(self, vocabulary: P.Vocabulary):
+        sizes = np.array([len(b) for b in vocabulary.output], np.int64)
+        self.size, self.start = sizes, np.cumsum(sizes) - sizes
+        self.bytes = np.frombuffer(b"".join(vocabulary.output), np.uint8)
+
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """Texts of id lists; the space in front is taken off again."""
-        size = self.out_size[ids]
-        data = self.out_bytes[C.ragged(self.out_start[ids], size)].tobytes()
+        size = self.size[ids]
+        data = self.bytes[C.ragged(self.start[ids], size)].tobytes()
         total = np.concatenate(([0], np.cumsum(size)))
         stop = np.cumsum(counts)
         ends, begins = total[stop].tolist(), total[stop - counts].tolist()
@@ -254,7 +262,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
         return run
 
-    return C.map_chunks(rows, make, schema)
+    return C.map_chunks(rows, make, schema, target=MATCH_BYTES)
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -263,16 +271,18 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField("text", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def run(batches):
-        work = codec(model)
-        for batch in batches:
-            lists = pc.fill_null(batch.column("ids"), pa.scalar([], batch.column("ids").type))
-            ids = np.asarray(lists.flatten(), dtype=np.int64)
-            counts = np.asarray(pc.list_value_length(lists), dtype=np.int64)
-            raw = ids.astype("<u4").tobytes()
-            stop = np.cumsum(counts) * 4
-            sums = [zlib.crc32(raw[b - 4 * n : b]) for b, n in zip(stop.tolist(), counts.tolist(), strict=True)]
-            texts = [t.decode("utf-8", "replace") for t in work.decode(ids, counts)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string()), pa.array(counts), pa.array(sums, pa.int64())], names=schema.names)
+        work = Decoder(P.vocabulary(model))
+        for whole in batches:
+            for at in range(0, whole.num_rows, DECODE_ROWS):
+                batch = whole.slice(at, DECODE_ROWS)
+                lists = pc.fill_null(batch.column("ids"), pa.scalar([], batch.column("ids").type))
+                ids = np.asarray(lists.flatten(), dtype=np.int64)
+                counts = np.asarray(pc.list_value_length(lists), dtype=np.int64)
+                raw = ids.astype("<u4").tobytes()
+                stop = np.cumsum(counts) * 4
+                sums = [zlib.crc32(raw[b - 4 * n : b]) for b, n in zip(stop.tolist(), counts.tolist(), strict=True)]
+                texts = [t.decode("utf-8", "replace") for t in work.decode(ids, counts)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string()), pa.array(counts), pa.array(sums, pa.int64())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
