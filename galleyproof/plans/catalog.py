@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from galleyproof.plans import commit_queries, graph_queries, hook_queries, knowledge_queries, text_queries
+
+_PARTS = (text_queries, commit_queries, graph_queries, hook_queries, knowledge_queries)
+QUERIES: dict = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

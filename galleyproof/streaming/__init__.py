@@ -1 +1 @@
-"""Part of galleyproof."""
+"""Streaming forms."""
