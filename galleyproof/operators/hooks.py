@@ -61,9 +61,10 @@ def tail_by_bytes(log: DataFrame, cap: int) -> DataFrame:
     back = W.partitionBy("name").orderBy(F.desc("seq"))
     size = F.octet_length("line") + 1
     rows = log.withColumns({"bytes": F.sum(size).over(back.rowsBetween(W.unboundedPreceding, 0)), "total": F.sum(size).over(W.partitionBy("name"))})
-    inside = F.col("bytes") < cap // 2
-    some = F.max(F.col("bytes") - size < cap // 2).over(W.partitionBy("name"))
-    return rows.filter((F.col("total") <= cap) | inside | ~some).drop("bytes", "total")
+    rows = rows.withColumn("inside", F.col("bytes") < cap // 2)
+    # a half without a line's start, but with a line's end before it, is left whole
+    rows = rows.withColumn("some", F.max(F.col("bytes") - size < cap // 2).over(W.partitionBy("name")))
+    return rows.filter((F.col("total") <= cap) | F.col("inside") | ~F.col("some")).drop("bytes", "total", "inside", "some")
 
 
 def carry_headers(rows: DataFrame) -> DataFrame:

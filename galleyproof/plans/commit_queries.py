@@ -195,11 +195,11 @@ def _tiers(spark, sf_dir):
     """with t as (select p_partkey % 10 as query, case when p_partkey % 50 < 10 then 0 when p_partkey % 50 < 20 then 1 when p_partkey % 50 < 30 then 2 else 3 end as tier, p_size as rank, 'e' || (p_partkey // 20) as name from part),
  f as (select query, tier, name, row_number() over (partition by query, tier order by rank, name) as rank, count(*) over (partition by query, tier) as n from (select *, min(tier) over (partition by query, name) as best from t) where tier = best),
  d0 as (select query, tier, rank, name from f where tier = 0 and (n <= 4 or ((rank - 1) // greatest(n // 4, 1) < 4 and (rank - 1) % greatest(n // 4, 1) = 84696383 % greatest(n // 4, 1)))),
- d1 as (select f.query, f.tier, f.rank, f.name from f left join (select query, count(*) as k from d0 group by 1) c using (query) where tier = 1 and 7 - coalesce(k, 0) > 0 and (n <= 7 - coalesce(k, 0) or ((rank - 1) // greatest(n // (7 - coalesce(k, 0)), 1) < 7 - coalesce(k, 0) and (rank - 1) % greatest(n // (7 - coalesce(k, 0)), 1) = 84696383 % greatest(n // (7 - coalesce(k, 0)), 1)))),
+ d1 as (select f.query, f.tier, f.rank, f.name from f left join (select query, count(*) as k from d0 group by 1) c using (query) where tier = 1 and 7 - coalesce(k, 0) > 0 and (n <= 7 - coalesce(k, 0) or ((rank - 1) // greatest(n // greatest(7 - coalesce(k, 0), 1), 1) < 7 - coalesce(k, 0) and (rank - 1) % greatest(n // greatest(7 - coalesce(k, 0), 1), 1) = 84696383 % greatest(n // greatest(7 - coalesce(k, 0), 1), 1)))),
  u1 as (select * from d0 union all select * from d1),
- d2 as (select f.query, f.tier, f.rank, f.name from f left join (select query, count(*) as k from u1 group by 1) c using (query) where tier = 2 and 7 - coalesce(k, 0) > 0 and (n <= 7 - coalesce(k, 0) or ((rank - 1) // greatest(n // (7 - coalesce(k, 0)), 1) < 7 - coalesce(k, 0) and (rank - 1) % greatest(n // (7 - coalesce(k, 0)), 1) = 84696383 % greatest(n // (7 - coalesce(k, 0)), 1)))),
+ d2 as (select f.query, f.tier, f.rank, f.name from f left join (select query, count(*) as k from u1 group by 1) c using (query) where tier = 2 and 7 - coalesce(k, 0) > 0 and (n <= 7 - coalesce(k, 0) or ((rank - 1) // greatest(n // greatest(7 - coalesce(k, 0), 1), 1) < 7 - coalesce(k, 0) and (rank - 1) % greatest(n // greatest(7 - coalesce(k, 0), 1), 1) = 84696383 % greatest(n // greatest(7 - coalesce(k, 0), 1), 1)))),
  u2 as (select * from u1 union all select * from d2),
- d3 as (select f.query, f.tier, f.rank, f.name from f left join (select query, count(*) as k from u2 group by 1) c using (query) where tier = 3 and 7 - coalesce(k, 0) > 0 and (n <= 7 - coalesce(k, 0) or ((rank - 1) // greatest(n // (7 - coalesce(k, 0)), 1) < 7 - coalesce(k, 0) and (rank - 1) % greatest(n // (7 - coalesce(k, 0)), 1) = 84696383 % greatest(n // (7 - coalesce(k, 0)), 1))))
+ d3 as (select f.query, f.tier, f.rank, f.name from f left join (select query, count(*) as k from u2 group by 1) c using (query) where tier = 3 and 7 - coalesce(k, 0) > 0 and (n <= 7 - coalesce(k, 0) or ((rank - 1) // greatest(n // greatest(7 - coalesce(k, 0), 1), 1) < 7 - coalesce(k, 0) and (rank - 1) % greatest(n // greatest(7 - coalesce(k, 0), 1), 1) = 84696383 % greatest(n // greatest(7 - coalesce(k, 0), 1), 1))))
  select query, tier, name from u2 union all select query, tier, name from d3"""
 )
 def suggestion_tiers(spark, sf_dir):

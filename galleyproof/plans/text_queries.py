@@ -104,7 +104,9 @@ def formatted_findings(spark, sf_dir):
 _STRIP = "".join(f"\\x{{{c:X}}}" for c in dims.STRIP_MARKS)
 _SPACES = "".join(f"\\x{{{c:X}}}" for c in dims.SPACE_MARKS)
 # the oracle has no look-around: a joiner between ASCII neighbours is found by its neighbours
-_CLEANED = f"regexp_replace(regexp_replace(regexp_replace(content, '([\\x00-\\x7E])[\\x{{200C}}\\x{{200D}}]([\\x00-\\x7E])', '\\1\\2', 'g'), '[{_STRIP}]', '', 'g'), '[{_SPACES}]', ' ', 'g')"
+_JOINER = "regexp_replace({}, '([\\x00-\\x7E])[\\x{{200C}}\\x{{200D}}]([\\x00-\\x7E])', '\\1\\2', 'g')"
+# twice, as a match takes its neighbours with it
+_CLEANED = f"regexp_replace(regexp_replace({_JOINER.format(_JOINER.format('content'))}, '[{_STRIP}]', '', 'g'), '[{_SPACES}]', ' ', 'g')"
 
 
 @query(f"with {DOC_FILES} select path, sha256({_CLEANED}) as cleaned_sha256 from doc_files")
