@@ -197,7 +197,10 @@ class Trie:
             for s in sequences:
                 out.write(s.low.tobytes())
                 out.write(s.high.tobytes())
-            out.write(self.codes.tobytes())
+            palette, at = np.unique(self.codes, return_inverse=True)
+            small = len(palette) <= 256
+            out.write(np.int64(len(palette) if small else 0).tobytes())
+            out.write(palette.tobytes() + at.astype(np.uint8).tobytes() if small else self.codes.tobytes())
 
     @staticmethod
     def open(uri: str) -> Trie:
@@ -216,7 +219,13 @@ class Trie:
             b = np.frombuffer(raw, np.uint64, high, at + 8 * low)
             sequences.append(EliasFano(n, bits, a, b))
             at += 8 * (low + high)
-        return Trie(sequences[:order], sequences[order:], int(head[1]), np.frombuffer(raw, np.uint16, int(head[2]), at))
+        colours = int(np.frombuffer(raw, np.int64, 1, at)[0])
+        if colours:
+            palette = np.frombuffer(raw, np.uint16, colours, at + 8)
+            codes = palette[np.frombuffer(raw, np.uint8, int(head[2]), at + 8 + 2 * colours)]
+        else:
+            codes = np.frombuffer(raw, np.uint16, int(head[2]), at + 8)
+        return Trie(sequences[:order], sequences[order:], int(head[1]), codes)
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
@@ -261,58 +270,62 @@ def _first(docs: DataFrame, shards: int, chunk: int) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ids.schema) as stream:
                 stream.write_table(ids)
-            yield from _table(number, BATCH, [(0, pack(np.frombuffer(sink.getvalue(), np.uint8), held.astype(np.uint8), size.astype(np.uint32), tokens))]).to_batches()
             shard = np.fromiter((zlib.crc32(w) % shards for w in distinct), np.int64, len(distinct))
+            yield from _table(number, BATCH, [(0, pack(np.frombuffer(sink.getvalue(), np.uint8), held.astype(np.uint8), size.astype(np.uint32), tokens, shard.astype(np.uint32)))]).to_batches()
             order = np.argsort(shard, kind="stable")
             out = []
             for s, a, b in _ranges(shard[order]):
                 part = [distinct[i] for i in order[a:b].tolist()]
                 length = np.array([len(w) for w in part], np.uint32)
-                out.append((s, pack(order[a:b].astype(np.uint32), length, np.frombuffer(b"".join(part), np.uint8), train[order[a:b]].astype(np.int64))))
+                out.append((s, pack(length, np.frombuffer(b"".join(part), np.uint8), train[order[a:b]].astype(np.int64))))
             yield from _table(number, WORDS, out).to_batches()
 
     return C.settle(docs.mapInArrow(run, ROW))
 
 
-def _number_words(table: pa.Table, shards: int) -> pa.Table:
-    """A shard's words get ids (frequent ones small ones) and counts; each batch its answer; and the shard its totals."""
+def _number_words(table: pa.Table) -> pa.Table:
+    """A shard's words get ranks (frequent ones small ones) and counts; each batch its answer; and the shard its totals.
+
+    A word's id is its rank times the number of shards, plus its shard.
+    """
     own = int(table["shard"][0].as_py())
     place: dict[bytes, int] = {}
     parts, counts = [], []
     for body in table["body"].to_pylist():
-        where, length, data, count = unpack(body)
+        length, data, count = unpack(body)
         raw, at, mine = data.tobytes(), 0, np.empty(len(length), np.int64)
         for k, size in enumerate(length.tolist()):
             mine[k] = place.setdefault(raw[at : at + size], len(place))
             at += size
-        parts.append((where, mine))
+        parts.append(mine)
         counts.append(count)
-    total = np.bincount(np.concatenate([m for _, m in parts]), weights=np.concatenate(counts), minlength=len(place)).astype(np.int64)
+    total = np.bincount(np.concatenate(parts), weights=np.concatenate(counts), minlength=len(place)).astype(np.int64)
     rank = np.empty(len(place), np.int64)
     rank[np.argsort(-total, kind="stable")] = np.arange(len(place))
-    ids = rank * shards + own
-    rows = [pack(where, ids[m].astype(np.uint64), total[m]) for where, m in parts]
+    rows = [pack(rank[m].astype(np.uint64), total[m]) for m in parts]
     out = pa.table([table["batch"], pa.array([IDS] * len(rows), pa.int32()), table["shard"], pa.array(rows, pa.binary())], names=NAMES)
     # the totals stand in the batch column
     return pa.concat_tables([out, _table(int(total.sum()), TOKENS, [(own, b"")]), _table(int((total > 0).sum()), VOCABULARY, [(own, b"")])])
 
 
 class _Batch:
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, shards: int):
         answers: dict[int, list] = {IDS: [], CODES: []}
         for number, kind, shard, body in zip(*(table[c].to_pylist() for c in NAMES), strict=True):
             self.number = number
             if kind == BATCH:
-                ids, held, size, self.tokens = unpack(body)
+                ids, held, size, self.tokens, word_shard = unpack(body)
                 self.ids = pa.ipc.open_stream(pa.py_buffer(ids.tobytes())).read_all()["id"]
                 self.held, self.size = held.astype(bool), size.astype(np.int64)
             else:
                 answers[kind].append((shard, body))
-        parts = [unpack(b) for _, b in answers[IDS]]
-        n = sum(len(p[0]) for p in parts)
-        self.word_id, self.word_count = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for where, ids, counts in parts:
-            self.word_id[where], self.word_count[where] = ids, counts
+        order = np.argsort(word_shard, kind="stable")
+        self.word_id, self.word_count = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        answered = dict(answers[IDS])
+        for s, a, b in _ranges(word_shard[order].astype(np.int64)):
+            rank, counts = unpack(answered[s])
+            self.word_id[order[a:b]] = rank.astype(np.int64) * shards + s
+            self.word_count[order[a:b]] = counts
         self.codes = dict(answers[CODES])
         self.end = np.cumsum(self.size)
 
@@ -347,7 +360,7 @@ class _Batch:
 
 
 def _send_grams(table: pa.Table, order: int, shards: int) -> pa.Table:
-    batch = _Batch(table)
+    batch = _Batch(table, shards)
     out = []
     for length, columns, counts, shard, _ in batch.grams(order, shards):
         by = batch.sent(columns, shard)
@@ -393,7 +406,7 @@ OUT = [("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.
 
 
 def _score(table: pa.Table, order: int, shards: int, n_train: int, n_words: int, names: list[str]) -> pa.Table:
-    batch = _Batch(table)
+    batch = _Batch(table, shards)
     tokens = batch.tokens.astype(np.int64)
     count = batch.word_count[tokens] if len(tokens) else np.zeros(0, np.int64)
     base = (count + 1.0) / (n_train + n_words + 1.0)
@@ -422,7 +435,7 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
     chunk = chunk or int(min(48 << 20, max(8 << 20, shards * (16 << 10))))
     first = _first(rows, shards, chunk)
-    numbered = C.settle(first.filter(F.col("kind") == WORDS).groupBy("shard").applyInArrow(lambda t: _number_words(t, shards), ROW))
+    numbered = C.settle(first.filter(F.col("kind") == WORDS).groupBy("shard").applyInArrow(_number_words, ROW))
     totals = numbered.filter(F.col("kind").isin(TOKENS, VOCABULARY)).groupBy("kind").agg(F.sum("batch")).collect()
     n_train, n_words = (dict(map(tuple, totals)).get(k, 0) for k in (TOKENS, VOCABULARY))
     known = first.filter(F.col("kind") == BATCH).unionAll(numbered.filter(F.col("kind") == IDS))
