@@ -301,10 +301,17 @@ def _sparse(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.
 
 def sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> tuple[list, list]:
     """The bounded training sample: labelled texts out of the held-out fold, by a hash of their id."""
-    known = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = C.own_columns(docs, "doc_id", "text").filter(~held_out() & F.col("text").isNotNull() & (F.char_length("text") <= max_chars))
-    picked = rows.join(known, "doc_id").select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_docs).collect()
-    return [r.text for r in picked], [r.toxic for r in picked]
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()
+    if not picked:
+        return [], []
+    # at most max_docs ids travel to the scan; texts are not shuffled
+    ids = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in picked], "doc_id long, toxic int")
+    rows = C.own_columns(docs, "doc_id", "text").filter(F.col("text").isNotNull() & (F.char_length("text") <= max_chars))
+    found = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").collect()
+    place = {r.doc_id: k for k, r in enumerate(picked)}
+    found.sort(key=lambda r: (place[r.doc_id], r.text))
+    return [r.text for r in found], [r.toxic for r in found]
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
