@@ -17,11 +17,29 @@ def char_class(points, ranges=()) -> str:
     return "".join(_esc(p) for p in points) + "".join(f"{_esc(a)}-{_esc(b)}" for a, b in ranges)
 
 
-ANY_MARK = char_class([c for c, _, _ in dims.named_marks()], dims.TAG_RANGES + dims.PRIVATE_RANGES + dims.SELECTOR_RANGES) + r"\p{Cf}"
-OUTSIDE = char_class([*dims.SPACE_MARKS, *dims.CONTEXTUAL_MARKS, *dims.TYPOGRAPHIC_MARKS], dims.TAG_RANGES + dims.PRIVATE_RANGES + dims.SELECTOR_RANGES)
+def merged_ranges(points, ranges=()) -> list[tuple[int, int]]:
+    """Neighbouring points and ranges as few ranges."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted([(p, p) for p in points] + list(ranges)):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+_RANGES = dims.TAG_RANGES + dims.PRIVATE_RANGES + dims.SELECTOR_RANGES
+ANY_MARK = char_class((), merged_ranges([c for c, _, _ in dims.named_marks()], _RANGES)) + r"\p{Cf}"
+OUTSIDE = char_class((), merged_ranges([*dims.SPACE_MARKS, *dims.CONTEXTUAL_MARKS, *dims.TYPOGRAPHIC_MARKS], _RANGES))
+#: Java classes that settle ASCII first, which most text is.
+BEYOND_ASCII = r"\x{80}-\x{10FFFF}"
+MARK = f"[{BEYOND_ASCII}&&[{ANY_MARK}]]"
+NO_MARK = f"[\\x00-\\x7F[^{ANY_MARK}]]"
 #: Always removable: the named set, and any other format character that no other set or range claims.
-STRIPPED = f"[{char_class(dims.STRIP_MARKS)}[\\p{{Cf}}&&[^{OUTSIDE}]]]"
-FLANKED_JOINER = f"(?<=[\\x00-\\x7E])[{char_class(dims.JOINERS)}](?=[\\x00-\\x7E])"
+STRIPPED = f"[{BEYOND_ASCII}&&[{char_class((), merged_ranges(dims.STRIP_MARKS))}[\\p{{Cf}}&&[^{OUTSIDE}]]]]"
+SPACED = f"[{BEYOND_ASCII}&&[{char_class((), merged_ranges(dims.SPACE_MARKS))}]]"
+_J = f"[{char_class(dims.JOINERS)}]"
+FLANKED_JOINER = f"{_J}(?<=[\\x00-\\x7E]{_J})(?=[\\x00-\\x7E])"
 
 
 def trim_space(c: Column) -> Column:
@@ -32,7 +50,7 @@ def trim_space(c: Column) -> Column:
 def clean(c: Column) -> Column:
     """Strip marks go, space marks become a space, all others stay. Idempotent."""
     stripped = F.regexp_replace(F.regexp_replace(c, FLANKED_JOINER, ""), STRIPPED, "")
-    return F.regexp_replace(stripped, f"[{char_class(dims.SPACE_MARKS)}]", " ")
+    return F.regexp_replace(stripped, SPACED, " ")
 
 
 def newlines(c: Column) -> Column:

@@ -37,8 +37,8 @@ def mark_scan(files: DataFrame) -> DataFrame:
     """path, code_point, mark_class, mark_name, byte_offset, line of every flagged code point."""
     spark = files.sparkSession
     # possessive and anchored at the last match: linear, also in a long text behind the last mark
-    segments = F.regexp_extract_all("content", F.lit(f"\\G([^{X.ANY_MARK}]*+)([{X.ANY_MARK}])"), 0)
-    marked = files.filter(F.col("content").rlike(f"[{X.ANY_MARK}]")).select("path", "content", segments.alias("segments"))
+    segments = F.regexp_extract_all("content", F.lit(f"\\G({X.NO_MARK}*+)({X.MARK})"), 0)
+    marked = files.filter(F.col("content").rlike(X.MARK)).select("path", "content", segments.alias("segments"))
     tail = F.expr("substring(content, aggregate(segments, 1, (a, x) -> a + char_length(x)), 1)")
     hit = marked.select("path", F.posexplode("segments").alias("ord", "segment"), tail.alias("tail"))
     mark = F.substring("segment", -1, 1)
@@ -171,8 +171,8 @@ def clean_files(files: DataFrame) -> DataFrame:
         .when(F.col("content").isNull(), "unreadable")
         .when(F.octet_length("content") > cap, "too large")
     )
-    removable = f"({X.FLANKED_JOINER}|{X.STRIPPED}|[{X.char_class(dims.SPACE_MARKS)}])"
-    any_mark = F.regexp_count("content", F.lit(f"[{X.ANY_MARK}]"))
+    removable = f"({X.FLANKED_JOINER}|{X.STRIPPED}|{X.SPACED})"
+    any_mark = F.regexp_count("content", F.lit(X.MARK))
     acted = F.regexp_count("content", F.lit(removable))
     out = files.select("path", reason.alias("skip_reason"), "content")
     use = F.col("skip_reason").isNull()

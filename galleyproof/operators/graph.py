@@ -58,7 +58,7 @@ def cycle_listing(edges: DataFrame) -> DataFrame:
         import pandas as pd
 
         out: dict[str, list[str]] = {}
-        for a, b in sorted(set(zip(pdf["src"], pdf["dst"], strict=True))):
+        for a, b in sorted(set(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True))):
             out.setdefault(a, []).append(b)
         state: dict[str, int] = {}
         found: set[tuple] = set()
@@ -81,7 +81,8 @@ def cycle_listing(edges: DataFrame) -> DataFrame:
                     state[nxt] = 1
                     path.append(nxt)
                     stack.append((nxt, iter(out.get(nxt, ()))))
-        return pd.DataFrame({"repo": pdf["repo"].iloc[0], "cycle": [" → ".join([*c, c[0]]) for c in sorted(found)]}, columns=["repo", "cycle"])
+        listed = [" → ".join([*c, c[0]]) for c in sorted(found)]
+        return pd.DataFrame({"repo": [pdf["repo"].iloc[0]] * len(listed), "cycle": listed}, columns=["repo", "cycle"], dtype=object)
 
     return edges.select(F.col("repo").cast("string"), F.col("src").cast("string"), F.col("dst").cast("string")).groupBy("repo").applyInPandas(walk, "repo string, cycle string")
 

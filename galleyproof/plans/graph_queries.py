@@ -64,3 +64,13 @@ def skill_closure(spark, sf_dir):
     k = F.col("s_suppkey")
     s = table(spark, sf_dir, "supplier").filter(k < 100).select(k.cast("string").alias("id"), (k % 50 == 0).alias("always_load"), F.array(((k * 3 + 1) % 100).cast("string"), ((k * 7 + 2) % 100).cast("string")).alias("compose_skills"))
     return G.pulled_skills(s, s.select("id").limit(0), router="7").select(F.col("id").cast("long").alias("id"))
+
+
+@query("select 'src/' || p_partkey || '.go' as file, 2::bigint as line, 'F has cyclomatic complexity ' || (1 + 2 * (p_size % 9)) as message from part where p_size % 9 = 8")
+def go_facts_metrics(spark, sf_dir):
+    from galleyproof.operators.gochecks import complexity
+    from galleyproof.sources.gofacts import go_facts
+
+    body = F.concat(F.lit("package a\nfunc F() {\n"), F.repeat(F.lit("if a && b {\n}\n"), (F.col("p_size") % 9).cast("int")), F.lit("}\n"))
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("src/"), "p_partkey", F.lit(".go")).alias("path"), F.lit(".go").alias("ext"), body.alias("content"))
+    return complexity(go_facts(files)).select("file", "line", "message")
