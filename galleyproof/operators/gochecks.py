@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Words of the naming checks and limits.
-NOISE_WORDS = ("data", "info", "temp", "tmp", "obj", "object", "item", "thing", "stuff", "val", "value", "foo")
+NOISE_WORDS = ("data", "info", "temp", "tmp", "helper", "util", "misc", "stuff", "thing", "manager", "common", "dummy")
+HUNGARIAN_PREFIXES = ("lpstr", "lpsz", "psz", "str", "pfn", "ull", "dw", "sz", "ll", "ul", "us", "ui", "h", "u", "n", "b", "w", "l", "i")
+PLAIN_NUMBERS = ("0", "1", "-1", "0.0", "1.0", "2", "10", "60", "100", "1000", "3600", "86400", "255", "256", "1024", "1025")
 MAX_CYCLOMATIC, MAX_FUNC_LINES, TEST_FACTOR, MAX_PARAMS, MAX_NESTING = 15, 80, 1.5, 5, 4
 
 
@@ -27,15 +29,28 @@ def import_groups(facts: DataFrame, module: str) -> DataFrame:
 
 
 def naming(facts: DataFrame) -> DataFrame:
-    """Single-letter exported names, and numbered siblings of a name in the same file."""
+    """Single-letter exported names, numbered siblings in a file, type prefixes, and noise words (unless a name is its own type's)."""
     names = facts.filter("kind in ('func', 'param', 'result', 'short', 'var', 'const', 'type') and name not in ('', '_')")
     single = names.filter((F.octet_length("name") == 1) & F.col("name").rlike(r"^\p{Lu}"))
-    stem = F.regexp_extract("name", r"^(.*[^\p{Lu}0-9])([1-7])$", 1)
-    numbered = names.withColumn("stem", stem).filter("stem <> ''")
+    pattern = r"^(.*[^\p{Lu}0-9])([0-9]{1,9})$"
+    numbered = names.withColumn("stem", F.regexp_extract("name", pattern, 1)).filter((F.col("stem") != "") & (F.regexp_extract("name", pattern, 2).try_cast("int") <= 7))
     plain = names.select("path", F.col("name").alias("stem")).distinct()
     kin = numbered.select("path", "stem", "name").distinct().groupBy("path", "stem").agg(F.count("*").alias("n")).filter("n > 1").select("path", "stem")
     twins = numbered.join(plain.union(kin).distinct(), ["path", "stem"], "left_semi")
-    return _row(single, "naming", F.concat(F.lit("single-letter exported name "), "name")).unionByName(_row(twins, "naming", F.concat(F.lit("numbered name "), "name")))
+    prefixed = names.filter(F.col("name").rlike("^(" + "|".join(HUNGARIAN_PREFIXES) + r")\p{Lu}"))
+    own_type = F.lower(F.regexp_extract(F.coalesce(F.col("attrs")["type"], F.lit("")), r"(\w+)\W*$", 1))
+    noise = names.filter(F.lower("name").isin(*NOISE_WORDS) & (F.lower("name") != own_type))
+    out = _row(single, "naming", F.concat(F.lit("single-letter exported name "), "name"))
+    for rows, text in ((twins, "numbered name "), (prefixed, "type prefix in "), (noise, "noise word ")):
+        out = out.unionByName(_row(rows, "naming", F.concat(F.lit(text), "name")))
+    return out
+
+
+def magic_numbers(facts: DataFrame) -> DataFrame:
+    """Number literals of functions outside constants that are not plain, octal modes or bit sizes; test files are free."""
+    rows = facts.filter("kind = 'number' and owner <> ''").filter(~F.col("path").endswith("_test.go"))
+    odd = rows.filter(~F.col("name").isin(*PLAIN_NUMBERS) & ~F.col("name").rlike("^0[oO]") & ~F.col("name").endswith("i") & ~F.coalesce(F.col("attrs")["exempt"] == "True", F.lit(False)))
+    return _row(odd, "complexity", F.concat(F.lit("magic number "), "name"))
 
 
 def complexity(facts: DataFrame) -> DataFrame:

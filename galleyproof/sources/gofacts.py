@@ -227,6 +227,7 @@ class Parser:
         depth = deepest = 0
         literals: list[int] = []  # ends of function literals
         blocks: list[int] = []
+        exempt: set[int] = set()
         k = a + 1
         while k < b:
             kind, text, line = t[k]
@@ -271,9 +272,11 @@ class Parser:
                 for x in reversed(names):
                     self.add("short", x[1], x[2], owner)
             elif kind == "number":
-                self.add("number", text, line, owner)
+                self.add("number", text, line, owner, exempt=k in exempt)
             elif kind == "ident" and k + 3 < b and t[k + 1][1] == "." and t[k + 2][0] == "ident" and t[k + 3][1] == "(":
                 self.add("call", f"{text}.{t[k + 2][1]}", line, owner)
+                if text == "strconv" and t[k + 2][1] in ("ParseInt", "ParseUint", "ParseFloat"):
+                    exempt.add(self.close(k + 3) - 1)  # the bit size, if it is a literal
             k += 1
         self.add("depth", str(deepest), t[a][2], owner)
 

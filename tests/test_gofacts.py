@@ -46,6 +46,7 @@ def test_facts_and_checks(spark):
     found = lambda df: sorted((r.line, r.message) for r in df.collect())
     assert found(C.import_groups(facts, "example.com/mod")) == [(6, "import groups out of order")]
     assert [m for _, m in found(C.naming(facts))] == ["single-letter exported name X", "numbered name x1", "numbered name x2"] or len(found(C.naming(facts))) == 3
+    assert found(C.magic_numbers(facts)) == [(19, "magic number 3"), (22, "magic number 4"), (28, "magic number 5")]
     assert found(C.complexity(facts)) == [(18, "flag argument flag")]
     assert found(C.control_flow(facts, 1)) == [(18, "nesting depth 2"), (26, "return in an else block")]
     assert found(C.named_returns(facts)) == [(18, "Two repeats an unnamed result type")]
