@@ -26,7 +26,7 @@ from galleyproof.llm.induced import byte_words
 WINDOW, STRIDE, HIDDEN, DIM = 32, 24, 8, 6
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 15
 #: Bounds of the training sample.
-MAX_DOCS, MAX_CHARS = 6000, 20_000
+MAX_DOCS, MAX_CHARS = 5000, 20_000
 THRESHOLD = 0.3
 #: Held out of training: ids whose crc32, as text, leaves this remainder.
 FOLDS, HELD_OUT = 4, 2
@@ -253,8 +253,12 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Network:
     first = Words(pa.array([t for t, k in zip(texts, half, strict=True) if k], pa.string()))
     row = np.repeat(np.arange(first.rows), first.counts)
     net.word[:, 0] = _log_odds(first.word[first.at], label[half], row, WORD_BUCKETS)
-    size = first.grams[first.at]
-    net.char[:, 0] = _log_odds(first.gram[C.ragged(first.gram_begin[first.at], size)], label[half], np.repeat(row, size), CHAR_BUCKETS)
+    # a text's distinct words have all its grams
+    pair = np.unique(row * max(1, first.n) + first.at)
+    row, which = pair // max(1, first.n), pair % max(1, first.n)
+    size = first.grams[which]
+    net.char[:, 0] = _log_odds(first.gram[C.ragged(first.gram_begin[which], size)], label[half], np.repeat(row, size), CHAR_BUCKETS)
+    del first, pair, which, row, size
     words = Words(pa.array([t for t, k in zip(texts, half, strict=True) if not k], pa.string()))
     y = label[~half]
     windows, row = words.windows()
