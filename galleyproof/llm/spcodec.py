@@ -8,7 +8,7 @@ The vocabulary is of the byte-pair kind. There, a segmentation is the one that m
 two neighbours, merged anew, come out as they are; and each prefix has one such segmentation. So relaxing an edge means: keep it
 if its piece may stand behind the last piece of the prefix where it starts. The ids are those of the sentencepiece library.
 
-Stretches a worker has met before are not matched again (the store starts anew beyond CACHE_WORDS; ids do not depend on it).
+Stretches a worker has met before are not matched again (the stores start anew beyond CACHE_WORDS and CACHE_PAIRS; ids do not depend on it).
 
 Defined results: null and empty texts give no ids and decode to the empty text; characters that no piece spells are given byte by
 byte; repeated rows each give their own row; extra columns are passed over.
@@ -16,19 +16,19 @@ byte; repeated rows each give their own row; extra columns are passed over.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from galleyproof.llm import common as C
 from galleyproof.llm import pieces as P
 
-CACHE_WORDS = 200_000
+CACHE_WORDS, CACHE_PAIRS = 150_000, 400_000
 #: Text bytes that are matched at a time, and id lists that are decoded at a time. Bounds on memory; results do not depend on them.
 MATCH_BYTES, DECODE_ROWS = 2 << 20, 512
 BREAK = b"\xff"
@@ -71,6 +71,8 @@ class Codec:
         """Whether two pieces (left << 20 | right) stay apart when merged anew."""
         distinct, back = np.unique(pair, return_inverse=True)
         answer = np.empty(len(distinct), bool)
+        if len(self.fit) > CACHE_PAIRS:
+            self.fit.clear()
         for k, p in enumerate(distinct.tolist()):
             known = self.fit.get(p)
             if known is None:
@@ -287,10 +289,28 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     return rows.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, n_chars and text_sha256 of the decoded text."""
-    out = decode(encode(docs, model), model)
-    return out.select("doc_id", "n_tokens", "ids_crc32", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("text"), 256).alias("text_sha256"))
+TRIP = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("text_sha256", T.StringType())]
+
+
+def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, n_chars and text_sha256 of the decoded text: encoding and decoding in one worker."""
+    rows = C.own_columns(docs, id_col, text_col).toDF("id", "text")
+    schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), *TRIP])
+
+    def make():
+        work, back = codec(model), Decoder(P.vocabulary(model))
+
+        def run(table: pa.Table) -> pa.Table:
+            ids, counts = work.encode(table["text"])
+            raw, stop = ids.astype("<u4").tobytes(), np.cumsum(counts) * 4
+            sums = [zlib.crc32(raw[b - 4 * n : b]) for b, n in zip(stop.tolist(), counts.tolist(), strict=True)]
+            texts = [t.decode("utf-8", "replace") for t in back.decode(ids.astype(np.int64), counts)]
+            digests = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+            return pa.table([table["id"], pa.array(counts), pa.array(sums, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(digests, pa.string())], names=schema.names)
+
+        return run
+
+    return C.map_chunks(rows, make, schema, target=MATCH_BYTES)
 
 
 def op10_sentencepiece_codec(spark, sf_dir: str) -> DataFrame:
