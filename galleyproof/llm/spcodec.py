@@ -17,6 +17,7 @@ byte; repeated rows each give their own row; extra columns are passed over.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import zlib
 
 import numpy as np
@@ -67,6 +68,30 @@ class Codec:
                 return parts
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
 
+    def merge_long(self, text: str) -> list[str]:
+        """As ``merge``, with the neighbours in a heap: n log n steps, so that one rule serves every length."""
+        parts, scores, n = list(text), self.scores, len(text)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(-s, k, 2) for k in range(n - 1) if (s := scores.get(parts[k] + parts[k + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, k, size = heapq.heappop(heap)
+            follow = right[k]
+            # an entry is stale where either side was merged since
+            if not parts[k] or follow == n or len(parts[k]) + len(parts[follow]) != size:
+                continue
+            parts[k] += parts[follow]
+            parts[follow] = ""
+            after = right[k] = right[follow]
+            if after < n:
+                left[after] = k
+            for a, b in ((left[k], k), (k, after)):
+                if a >= 0 and b < n:
+                    score = scores.get(parts[a] + parts[b])
+                    if score is not None:
+                        heapq.heappush(heap, (-score, a, len(parts[a]) + len(parts[b])))
+        return [p for p in parts if p]
+
     def fits(self, pair: np.ndarray) -> np.ndarray:
         """Whether two pieces (left << 20 | right) stay apart when merged anew."""
         distinct, back = np.unique(pair, return_inverse=True)
@@ -200,7 +225,7 @@ class Codec:
             known.clear()
         fresh = [w for w in words if w not in known]
         if fresh:
-            # runs of marks have equal scores, where the leftmost rule reaches across pieces: these few are merged plainly
+            # runs of marks have equal scores, where the leftmost rule reaches across pieces: these few are merged plainly, at every length
             plain = [w for w in fresh if w.startswith(P.SPACE * 3)]
             rest = [w for w in fresh if not w.startswith(P.SPACE * 3)]
             if rest:
@@ -217,9 +242,8 @@ class Codec:
         return ids[C.ragged(begin[at], sizes[at])], counts
 
     def _plain(self, word: str) -> bytes:
-        marks = len(word) - len(word.lstrip(P.SPACE))
         ids: list[int] = []
-        for part in self.merge(word) if len(word) <= 4096 else self.merge(word[:marks]) + self.merge(word[marks:]):
+        for part in self.merge_long(word):
             known = self.vocab.pieces.get(part)
             ids += [known] if known is not None else [int(self.vocab.byte_ids[b]) for b in part.encode()]
         return np.array(ids, "<u4").tobytes()
