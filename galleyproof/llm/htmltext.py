@@ -2,13 +2,17 @@
 
 Each page's visible text becomes a stream of blocks. Where the page marks its content (``article``, ``main`` and their roles) that
 content, without what the tables below exclude, is the main text. The text outside it, and all text of pages that mark none, goes
-into the host's token stream: suffix arrays over the streams find long passages that distinct pages of a host repeat, those are
-removed as boilerplate, and what is unique stays. Inside marked content the suffix array removes nothing: copied articles and
-quoted passages repeat there, and the contract drops no part of an article (removing by repetition alone loses them, and keeps
-adverts that a host shows once).
+into the host's token stream: suffix arrays over the streams find passages that distinct pages of a host repeat. Such a passage only
+names candidates: removed are whole blocks inside them that stand on many of the host's unmarked pages whose longest blocks differ, in
+runs of ``MIN_RUN`` bytes or more. So copies of one article count as one page however many there are, and a page's longest block is
+never removed. What this keeps: the boilerplate of hosts with few unmarked pages, and of pages whose longest block is boilerplate
+itself (by repetition alone that is a copied article with other text around it), and short runs. What it still removes of articles:
+whole blocks quoted by a quarter of a host's pages, at least eight. Inside marked content the suffix array removes nothing: copied
+articles and quoted passages repeat there, and the contract drops no part of an article (removing by repetition alone loses them, and
+keeps adverts that a host shows once).
 
 Passages are compared within a host and across distinct page ids. A host of any size is spread over the shards by its passages
-(see ``repeats``); only the text outside marked content is shuffled.
+(see ``repeats``); only the text outside marked content is shuffled, and blocks of unmarked pages are joined to their host's boilerplate.
 
 Defined results: null or empty html gives the empty text; a null url is a host of its own; rows of one page id are one page; repeated
 rows each give their own row; extra columns are passed over.
@@ -17,6 +21,7 @@ rows each give their own row; extra columns are passed over.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 
 import numpy as np
@@ -29,8 +34,10 @@ from pyspark.sql import types as T
 from galleyproof.llm import common as C
 from galleyproof.llm import repeats
 
-#: Length in bytes from which a passage that distinct pages of a host repeat is boilerplate.
+#: Length in bytes from which a passage that distinct pages of a host repeat names candidates.
 MIN_REPEAT, GRAM = 32, 16
+#: A block is boilerplate from so many pages of distinct longest blocks, and from that share of the host's; removed in runs of so many bytes.
+MIN_PAGES, MIN_SHARE, MIN_RUN = 8, 0.25, 100
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -191,28 +198,51 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         scope = [xxhash.xxh3_64_intdigest(host(u)) - (1 << 63) for u in table["url"].to_pylist()]
         return pa.table([table["id"].cast(pa.int64()), pa.array(scope, pa.int64()), pa.array(["\n".join(o) for _, o, _ in found], pa.string()), table["id"], table["url"], pa.array([m for *_, m in found])], names=outside.names)
 
-    def unique_runs(table, text, offsets, covered):
+    long = lambda name: T.StructField(name, T.LongType())
+    page = T.StructType([T.StructField("own", rows.schema["id"].dataType), T.StructField("url", T.StringType()), long("scope"), T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("keys", T.ArrayType(T.LongType())), long("lead"), long("n_repeated")])
+
+    def candidates(table, text, offsets, covered):
+        """Blocks of unmarked pages, with the hash of each that lies wholly in repeated passages (else null), and the longest one's hash."""
+        import xxhash
+
         use = np.flatnonzero(~np.asarray(table["marked"]))
-        texts, repeated = [], []
+        lines, keys, leads, repeated = [], [], [], []
         for k in use.tolist():
             a, b = int(offsets[k]), int(offsets[k + 1])
-            raw, gone = text[a:b].tobytes(), covered[a:b]
+            gone, found = covered[a:b], list(re.finditer(rb"[^\n]+", text[a:b].tobytes()))
+            code = [xxhash.xxh3_64_intdigest(x[0]) - (1 << 63) for x in found]
+            lead = max(zip((len(x[0]) for x in found), code, strict=True), default=(0, 0))[1]
+            lines.append([x[0].decode() for x in found])
+            keys.append([c if c != lead and gone[x.start() : x.end()].all() else None for x, c in zip(found, code, strict=True)])
+            leads.append(lead)
             repeated.append(int(gone.sum()))
-            kept = []
-            for line in re.finditer(rb"[^\n]+", raw):
-                words = [w[0] for w in re.finditer(rb"\S+", line[0]) if not gone[line.start() + w.start() : line.start() + w.end()].all()]
-                if words:
-                    kept.append(b" ".join(words))
-            texts.append(b"\n".join(kept).decode())
         part = table.take(use)
-        out = pa.array(texts, pa.string())
-        return pa.table([part["own"], part["url"], out, pc.utf8_length(out).cast(pa.int64()), pa.array(repeated, pa.int64()), part["marked"]], names=schema.names)
+        longs = pa.int64()
+        return pa.table([part["own"], part["url"], part["scope"], pa.array(lines, pa.list_(pa.string())), pa.array(keys, pa.list_(longs)), pa.array(leads, longs), pa.array(repeated, longs)], names=page.names)
+
+    def unique_blocks(batches):
+        for batch in batches:
+            texts = []
+            for lines, keys, common in zip(*(batch.column(c).to_pylist() for c in ("lines", "keys", "common")), strict=True):
+                known, kept = set(common or ()), []
+                for drop, run in itertools.groupby(zip(lines, keys, strict=True), lambda x: x[1] is not None and x[1] in known):
+                    run = [line for line, _ in run]
+                    if not drop or len("\n".join(run).encode()) < MIN_RUN:
+                        kept += run
+                texts.append("\n".join(kept))
+            out = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("url"), out, pc.utf8_length(out).cast(pa.int64()), batch.column("n_repeated"), pa.array([False] * len(texts))], names=schema.names)
 
     # each branch reads the pages in its own narrow pass; only the text outside marked content is shuffled
     marked = C.map_chunks(rows, lambda: main_text, schema)
     streams = C.map_chunks(rows, lambda: outer_text, outside)
-    rest = repeats.cover(streams, unique_runs, schema, min_len=min_repeat, gram=GRAM, smaller=False, batch_bytes=1 << 20)
-    return marked.unionAll(rest)
+    rest = C.settle(repeats.cover(streams, candidates, page, min_len=min_repeat, gram=GRAM, smaller=False, batch_bytes=1 << 20))
+    pages_of = lambda: F.least(F.count_distinct("lead"), F.count_distinct("own"))
+    hosts = rest.groupBy("scope").agg(pages_of().alias("of"))
+    counted = rest.select("scope", "own", "lead", F.explode("keys").alias("key")).filter("key is not null").groupBy("scope", "key").agg(pages_of().alias("n")).filter(F.col("n") >= MIN_PAGES)
+    # of one host at most a few times the mean number of blocks of a page
+    common = counted.join(hosts, "scope").filter(F.col("n") >= MIN_SHARE * F.col("of")).groupBy("scope").agg(F.collect_list("key").alias("common"))
+    return marked.unionAll(rest.join(common, "scope", "left").mapInArrow(unique_blocks, schema))
 
 
 def op1_html_extraction(spark, sf_dir: str) -> DataFrame:
