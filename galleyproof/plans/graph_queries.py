@@ -62,7 +62,9 @@ def layer_boundaries(spark, sf_dir):
 )
 def skill_closure(spark, sf_dir):
     k = F.col("s_suppkey")
-    s = table(spark, sf_dir, "supplier").filter(k < 100).select(k.cast("string").alias("id"), (k % 50 == 0).alias("always_load"), F.array(((k * 3 + 1) % 100).cast("string"), ((k * 7 + 2) % 100).cast("string")).alias("compose_skills"))
+    suppliers = table(spark, sf_dir, "supplier")
+    n = F.lit(suppliers.count())
+    s = suppliers.select(k.cast("string").alias("id"), (k % 50 == 0).alias("always_load"), F.array(((k * 3 + 1) % n).cast("string"), ((k * 7 + 2) % n).cast("string")).alias("compose_skills"))
     return G.pulled_skills(s, s.select("id").limit(0), router="7").select(F.col("id").cast("long").alias("id"))
 
 
