@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -39,6 +42,26 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_held: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What a worker keeps between its tasks: the tables of one operator at a time, so that a pipeline's stages do not add up."""
+    if key not in _held:
+        _held.clear()
+        trim()
+        _held[key] = make()
+    return _held[key]
+
+
+def trim() -> None:
+    """Give memory that is free within the worker back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunked(batches: Iterator[pa.RecordBatch], column: str, target: int) -> Iterator[pa.Table]:
     """Tables of consecutive batches with about ``target`` bytes in ``column``; rows are never split or reordered."""
     held: list[pa.RecordBatch] = []

@@ -1,6 +1,7 @@
 """Piece encoding and decoding by suffix-array matching.
 
-A batch's distinct stretches are concatenated and their suffixes sorted (to the length of the longest piece); every piece is
+Texts are cut where no piece can reach across: a merge makes a piece, so two neighbouring characters that stand in no piece together
+stay apart. A batch's distinct stretches are concatenated and their suffixes sorted (to the length of the longest piece); every piece is
 binary-searched for its range of suffixes, all pieces at once; the ranges are the edges of the segmentation lattice. Edges are
 sorted by position and relaxed in that order.
 
@@ -8,7 +9,7 @@ The vocabulary is of the byte-pair kind. There, a segmentation is the one that m
 two neighbours, merged anew, come out as they are; and each prefix has one such segmentation. So relaxing an edge means: keep it
 if its piece may stand behind the last piece of the prefix where it starts. The ids are those of the sentencepiece library.
 
-Stretches a worker has met before are not matched again (the stores start anew beyond CACHE_WORDS and CACHE_PAIRS; ids do not depend on it).
+Stretches a worker has met before are not matched again: two generations of at most CACHE_BYTES each are held; ids do not depend on it.
 
 Defined results: null and empty texts give no ids and decode to the empty text; characters that no piece spells are given byte by
 byte; repeated rows each give their own row; extra columns are passed over.
@@ -29,28 +30,44 @@ from pyspark.sql import types as T
 from galleyproof.llm import common as C
 from galleyproof.llm import pieces as P
 
-CACHE_WORDS, CACHE_PAIRS = 150_000, 400_000
-#: Text bytes that are matched at a time, and id lists that are decoded at a time. Bounds on memory; results do not depend on them.
-MATCH_BYTES, DECODE_ROWS = 2 << 20, 512
+#: Bytes of a generation of known stretches (an entry counts ENTRY besides its text and ids).
+CACHE_BYTES, ENTRY = 40 << 20, 200
+#: Slots of the table of judged neighbours, as a power of two.
+FIT_BITS = 20
+#: Text bytes that are coded at a time, bytes of new stretches that are matched at a time, and id lists that are decoded at a time.
+#: Bounds on memory; results do not depend on them.
+MATCH_BYTES, WORD_BYTES, DECODE_ROWS = 4 << 20, 1 << 19, 512
 BREAK = b"\xff"
-
-_codecs: dict[str, Codec] = {}
+GAP = " "
 
 
 class Codec:
     def __init__(self, vocabulary: P.Vocabulary):
         self.vocab = vocabulary
-        self.scores = {p: float(vocabulary.scores[i]) for p, i in vocabulary.pieces.items()}
-        self.spelling = {i: p for p, i in vocabulary.pieces.items()}
-        own = [(p.encode(), i, len(p)) for p, i in vocabulary.pieces.items() if self.merge(p) == [p]]
+        self.pieces = {p.replace(P.SPACE, GAP): i for p, i in vocabulary.pieces.items()}
+        self.scores = {p: float(vocabulary.scores[i]) for p, i in self.pieces.items()}
+        self.spelling = {i: p for p, i in self.pieces.items()}
+        own = [(p.encode(), i, len(p)) for p, i in self.pieces.items() if self.merge(p) == [p]]
+        # long pieces last: only they need more than the first eight bytes
+        own.sort(key=lambda x: len(x[0]) > 8)
+        self.short = sum(len(b) <= 8 for b, _, _ in own)
         self.longest = -(-max(len(b) for b, _, _ in own) // 8) * 8
         self.piece_ids = np.array([i for _, i, _ in own], np.int64)
         self.piece_bytes = np.array([len(b) for b, _, _ in own], np.int64)
         self.piece_chars = np.array([n for _, _, n in own], np.int64)
         self.low_key = self._keys([b for b, _, _ in own], b"\x00")
         self.high_key = self._keys([b for b, _, _ in own], b"\xff")
-        self.fit: dict[int, bool] = {}
+        # by the last byte of a character and the first of the next: whether some piece holds two such characters together
+        self.joins = np.zeros(1 << 16, bool)
+        for p in self.pieces:
+            raw = p.encode()
+            inner = [k for k in range(1, len(raw)) if raw[k] & 0xC0 != 0x80]
+            self.joins[[raw[k - 1] << 8 | raw[k] for k in inner]] = True
+        self.joins.reshape(256, 256)[:, 0x80:0xC0] = True
+        self.fit_pair, self.fit_answer = np.full(1 << FIT_BITS, -1, np.int64), np.zeros(1 << FIT_BITS, bool)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def _keys(self, pieces: list[bytes], fill: bytes) -> np.ndarray:
         return np.frombuffer(b"".join(p.ljust(self.longest, fill) for p in pieces), ">u8").reshape(len(pieces), -1).astype(np.uint64)
@@ -94,46 +111,65 @@ class Codec:
 
     def fits(self, pair: np.ndarray) -> np.ndarray:
         """Whether two pieces (left << 20 | right) stay apart when merged anew."""
-        distinct, back = np.unique(pair, return_inverse=True)
-        answer = np.empty(len(distinct), bool)
-        if len(self.fit) > CACHE_PAIRS:
-            self.fit.clear()
-        for k, p in enumerate(distinct.tolist()):
-            known = self.fit.get(p)
-            if known is None:
-                a, b = self.spelling[p >> 20], self.spelling[p & 0xFFFFF]
-                known = self.fit[p] = self.merge(a + b) == [a, b]
-            answer[k] = known
-        return answer[back]
-
-    def _suffixes(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Character starts sorted by the ``longest`` bytes behind them, and the text's eight-byte words at each byte."""
+        slot = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FIT_BITS)).astype(np.int64)
+        answer = self.fit_answer[slot]
+        fresh = np.flatnonzero(self.fit_pair[slot] != pair)
+        if len(fresh):
+            distinct, first, back = np.unique(pair[fresh], return_index=True, return_inverse=True)
+            spelling, merge = self.spelling, self.merge
+            found = np.empty(len(distinct), bool)
+            for k, p in enumerate(distinct.tolist()):
+                a, b = spelling[p >> 20], spelling[p & 0xFFFFF]
+                found[k] = merge(a + b) == [a, b]
+            answer[fresh] = found[back]
+            put = slot[fresh[first]]
+            self.fit_pair[put], self.fit_answer[put] = distinct, found
+        return answer
+
+    def _suffixes(self, text: np.ndarray, starts: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Character starts sorted by the bytes behind them up to the stretch's end (``longest`` at most), their first eight, and the eight at each text byte."""
         padded = np.concatenate((text, np.zeros(self.longest + 8, np.uint8)))
-        words = np.zeros(len(text) + self.longest, np.uint64)
-        for k in range(8):
-            words = (words << np.uint64(8)) | padded[k : k + len(words)]
-        rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
-        covered = 8
-        while covered < self.longest:
-            follow = np.zeros(len(rank), np.int64)
-            follow[: len(rank) - covered] = rank[covered:]
-            key = (rank << 32) | follow
-            rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-            covered *= 2
-            if rank.max(initial=0) == len(rank) - 1:
+        words = np.ndarray((len(text) + self.longest,), ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
+        # what follows a stretch's end counts as zero
+        key = words[starts]
+        cut = np.flatnonzero(room < 7)
+        key[cut] &= ~((np.uint64(1) << ((7 - room[cut]) * 8).astype(np.uint64)) - np.uint64(1))
+        by = np.argsort(key, kind="stable")
+        ranked = key[by]
+        depth = 8
+        tied = np.zeros(len(by), bool)
+        tied[1:] = ranked[1:] == ranked[:-1]
+        while depth < self.longest:
+            # runs of equal suffixes that reach further are sorted by their next eight bytes
+            inside = tied.copy()
+            inside[:-1] |= tied[1:]
+            at = np.flatnonzero(inside & (room[by] >= depth))
+            if not len(at):
                 break
-        return starts[np.argsort(rank[starts], kind="stable")], words
-
-    def _bound(self, order: np.ndarray, words: np.ndarray, keys: np.ndarray, upper: bool) -> np.ndarray:
-        low = np.zeros(len(keys), np.int64)
-        high = np.full(len(keys), len(order), np.int64)
-        which = np.arange(len(keys))
+            run = np.cumsum(~tied)[at]
+            left = room[by[at]] - depth
+            following = words[starts[by[at]] + depth]
+            short = np.flatnonzero(left < 7)
+            following[short] &= ~((np.uint64(1) << ((7 - left[short]) * 8).astype(np.uint64)) - np.uint64(1))
+            order = np.lexsort((following, run))
+            by[at] = by[at[order]]
+            following = following[order]
+            same = np.zeros(len(at), bool)
+            same[1:] = (run[1:] == run[:-1]) & (following[1:] == following[:-1])
+            tied[:] = False
+            tied[at] = same
+            depth += 8
+        return starts[by], ranked, words
+
+    def _narrow(self, order: np.ndarray, words: np.ndarray, keys: np.ndarray, low: np.ndarray, high: np.ndarray, upper: bool) -> np.ndarray:
+        """Binary search of long pieces inside the range of their first eight bytes."""
+        which = np.flatnonzero(low < high)
         while len(which):
             middle = (low[which] + high[which]) >> 1
             at = order[middle]
             below = np.full(len(which), upper)
             open_ = np.arange(len(which))
-            for w in range(keys.shape[1]):
+            for w in range(1, keys.shape[1]):
                 have, want = words[at[open_] + 8 * w], keys[which[open_], w]
                 below[open_[have < want]] = True
                 below[open_[have > want]] = False
@@ -145,25 +181,30 @@ class Codec:
             which = which[low[which] < high[which]]
         return low
 
-    def edges(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first byte, end byte, piece) of every occurrence of every piece."""
-        order, words = self._suffixes(text, starts)
-        low = self._bound(order, words, self.low_key, False)
-        high = self._bound(order, words, self.high_key, True)
-        found = high - low
+    def edges(self, text: np.ndarray, starts: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first byte, end byte, piece) of every occurrence of every piece; ``room`` is the distance of each start to its stretch's end."""
+        order, lead, words = self._suffixes(text, starts, room)
+        k = self.short
+        low = np.searchsorted(lead, self.low_key[:, 0], side="left")
+        high = np.searchsorted(lead, self.high_key[:, 0], side="right")
+        begin, end = low[k:].copy(), high[k:].copy()
+        low[k:] = self._narrow(order, words, self.low_key[k:], begin.copy(), end.copy(), False)
+        high[k:] = self._narrow(order, words, self.high_key[k:], begin, end, True)
+        found = np.maximum(high - low, 0)
         hit = found > 0
         first = order[C.ragged(low[hit], found[hit])]
         which = np.repeat(np.flatnonzero(hit), found[hit])
         return first, first + self.piece_bytes[which], which
 
     def _match(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct stretches, as bytes of uint16/32."""
+        """Ids of distinct stretches, as bytes of uint32."""
         joined = BREAK.join(w.encode() for w in words) + BREAK
         text = np.frombuffer(joined, np.uint8)
         stops = np.flatnonzero(text == 0xFF)
         begins = np.concatenate(([0], stops[:-1] + 1))
+        word_at = np.repeat(np.arange(len(stops), dtype=np.int32), stops + 1 - begins)
         starts = np.flatnonzero(((text & 0xC0) != 0x80) & (text != 0xFF))
-        first, end, which = self.edges(text, starts)
+        first, end, which = self.edges(text, starts, stops[word_at[starts]] - starts)
         piece = self.piece_ids[which]
         # characters that no piece spells alone
         spelled = np.zeros(len(text) + 1, bool)
@@ -173,8 +214,7 @@ class Codec:
             lead = text[odd]
             width = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
             first, end, piece = np.concatenate((first, odd)), np.concatenate((end, odd + width)), np.concatenate((piece, np.full(len(odd), -1)))
-        word = np.searchsorted(stops, first)
-        depth = end - begins[word]
+        depth = end - begins[word_at[first]]
         order = np.argsort(depth, kind="stable")
         first, end, piece, depth = first[order], end[order], piece[order], depth[order]
         last = np.full(len(text) + 1, -2, np.int64)
@@ -217,24 +257,49 @@ class Codec:
         stop = np.cumsum(np.bincount(of, minlength=len(words))) * 4
         return [flat[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
 
+    def stretches(self, texts: pa.ChunkedArray) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """All stretches in order, coded, and each one's row. A text that is not empty gets a space in front; the space mark is a space."""
+        data, offsets = C.flat_text(texts)
+        if P.MARK in data.tobytes():
+            data, offsets = C.flat_text(pc.replace_substring(C.rebuilt(data.tobytes(), offsets), P.SPACE, GAP))
+        filled = np.diff(offsets) > 0
+        data = np.insert(data, offsets[:-1][filled], 0x20)
+        begins = (offsets[:-1] + np.cumsum(filled) - filled)[filled]
+        cut = np.ones(len(data), bool)
+        cut[1:] = ~self.joins[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+        cut[begins] = True
+        at = np.flatnonzero(cut)
+        row = np.flatnonzero(filled)[np.cumsum(np.isin(at, begins, assume_unique=True)) - 1] if len(at) else np.zeros(0, np.int64)
+        return C.rebuilt(data.tobytes(), np.append(at, len(data))).dictionary_encode(), row
+
+    def _learn(self, words: list[str]) -> None:
+        if self.held > CACHE_BYTES:
+            self.older, self.known, self.held = self.known, {}, 0
+        known, older = self.known, self.older
+        new = [w for w in words if w not in known]
+        found = [older.get(w) for w in new]
+        fresh = [w for w, ids in zip(new, found, strict=True) if ids is None]
+        known.update((w, ids) for w, ids in zip(new, found, strict=True) if ids is not None)
+        # runs of spaces have equal scores, where the leftmost rule reaches across pieces: these few are merged plainly, at every length
+        plain = [w for w in fresh if w.startswith(GAP * 3)]
+        rest = [w for w in fresh if not w.startswith(GAP * 3)] if plain else fresh
+        if rest:
+            part = np.cumsum(np.fromiter(map(len, rest), np.int64, len(rest))) // WORD_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(rest)]
+            for a, b in zip(cuts, cuts[1:]):  # noqa: B905
+                known.update(zip(rest[a:b], self._match(rest[a:b]), strict=True))
+        for w in plain:
+            known[w] = self._plain(w)
+        self.held += sum(len(w) + len(known[w]) + ENTRY for w in new)
+
     def encode(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of all texts, and each text's number of ids."""
-        words, at, row = P.stretches(texts)
-        known = self.known
-        if len(known) + len(words) > CACHE_WORDS:
-            known.clear()
-        fresh = [w for w in words if w not in known]
-        if fresh:
-            # runs of marks have equal scores, where the leftmost rule reaches across pieces: these few are merged plainly, at every length
-            plain = [w for w in fresh if w.startswith(P.SPACE * 3)]
-            rest = [w for w in fresh if not w.startswith(P.SPACE * 3)]
-            if rest:
-                known.update(zip(rest, self._match(rest), strict=True))
-            for w in plain:
-                known[w] = self._plain(w)
-        if not words:
+        coded, row = self.stretches(texts)
+        if not len(coded):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        blobs = [known[w] for w in words]
+        words, at = coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int64)
+        self._learn(words)
+        blobs = list(map(self.known.__getitem__, words))
         sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         ids = np.frombuffer(b"".join(blobs), "<u4")
         begin = np.cumsum(sizes) - sizes
@@ -244,7 +309,7 @@ class Codec:
     def _plain(self, word: str) -> bytes:
         ids: list[int] = []
         for part in self.merge_long(word):
-            known = self.vocab.pieces.get(part)
+            known = self.pieces.get(part)
             ids += [known] if known is not None else [int(self.vocab.byte_ids[b]) for b in part.encode()]
         return np.array(ids, "<u4").tobytes()
 
@@ -268,9 +333,8 @@ class Decoder:
 
 
 def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(P.vocabulary(path))
-    return _codecs[path]
+    """One codec per worker and model."""
+    return C.kept(("spcodec", path), lambda: Codec(P.vocabulary(path)))
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
