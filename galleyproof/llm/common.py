@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 #: Text bytes that one chunk of an Arrow map gathers before it is worked on. Bounds a worker's memory; results do not depend on it.
 CHUNK_BYTES = 8 << 20
-#: Rows of one emitted Arrow batch.
-OUT_ROWS = 1024
+#: Rows of one emitted Arrow batch, and of one that a worker is sent.
+OUT_ROWS, BATCH_ROWS = 1024, 1000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -48,12 +48,18 @@ _held: dict[object, object] = {}
 def kept(key: object, make: Callable[[], object]) -> object:
     """What a worker keeps between its tasks: the tables of one operator at a time, so that a pipeline's stages do not add up."""
     if key not in _held:
-        _held.clear()
-        trim()
+        let_go()
         _held[key] = make()
     return _held[key]
 
 
+def let_go() -> None:
+    """Drop what another operator left in this worker."""
+    if _held:
+        _held.clear()
+        trim()
+
+
 def trim() -> None:
     """Give memory that is free within the worker back to the system."""
     gc.collect()
@@ -104,14 +110,35 @@ def map_chunks(
     text_col: str = "text",
     target: int = CHUNK_BYTES,
 ) -> DataFrame:
-    """``mapInArrow`` over chunks of about ``target`` text bytes. ``make`` runs once per task and returns the chunk function."""
+    """``mapInArrow`` over chunks of about ``target`` text bytes. ``make`` runs once per task and returns the chunk function.
+
+    Only a ``make`` that is marked (``keeping``) leaves tables in the worker for its next task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not getattr(make, "keeping", False):
+            let_go()
         work = make()
         for table in chunked(batches, text_col, target):
             yield from work(table).to_batches(max_chunksize=OUT_ROWS)
+        del work
+        trim()
+
+    return narrow_batches(df).mapInArrow(run, schema)
+
+
+def keeping(make: Callable) -> Callable:
+    """Mark a ``make`` that asks for its tables by ``kept``."""
+    make.keeping = True
+    return make
+
 
-    return df.mapInArrow(run, schema)
+def narrow_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of its session held to BATCH_ROWS rows: texts are long, and a batch lies whole in the JVM and in the worker."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
 
 
 def flat_text(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:

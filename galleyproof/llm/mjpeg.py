@@ -232,7 +232,7 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = pa.table([table["doc_id"], pa.array(np.diff(at)), pa.array(media, pa.binary())], names=schema.names)
             yield from out.to_batches(max_chunksize=1024)
 
-    return rows.mapInArrow(encode, schema)
+    return C.narrow_batches(rows).mapInArrow(encode, schema)
 
 
 DIGEST = T.StructType(

@@ -280,7 +280,7 @@ def _first(docs: DataFrame, shards: int, chunk: int) -> DataFrame:
                 out.append((s, pack(length, np.frombuffer(b"".join(part), np.uint8), train[order[a:b]].astype(np.int64))))
             yield from _table(number, WORDS, out).to_batches()
 
-    return C.settle(docs.mapInArrow(run, ROW))
+    return C.settle(C.narrow_batches(docs).mapInArrow(run, ROW))
 
 
 def _number_words(table: pa.Table) -> pa.Table:

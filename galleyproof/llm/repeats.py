@@ -159,12 +159,13 @@ class Batch:
 
 def _pack_batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
     def run(batches):
+        C.let_go()
         task, k = TaskContext.get().partitionId(), 0
         for table in C.chunked(batches, "text", batch_bytes):
             yield pa.RecordBatch.from_arrays([pa.array([(task << 24) + k]), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([pack(table)])], names=NAMES)
             k += 1
 
-    return C.settle(docs.mapInArrow(run, ROW))
+    return C.settle(C.narrow_batches(docs).mapInArrow(run, ROW))
 
 
 def _ranges(cuts: list[int], stop: int) -> list[tuple[int, int]]:

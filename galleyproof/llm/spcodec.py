@@ -342,6 +342,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     rows = C.own_columns(docs, id_col, text_col).toDF("id", "text")
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
+    @C.keeping
     def make():
         work = codec(model)
 
@@ -385,6 +386,7 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     rows = C.own_columns(docs, id_col, text_col).toDF("id", "text")
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), *TRIP])
 
+    @C.keeping
     def make():
         work, back = codec(model), Decoder(P.vocabulary(model))
 

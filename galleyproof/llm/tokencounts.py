@@ -26,9 +26,6 @@ MAX_NODES = 400_000
 #: Scores are scaled to integers, and a token costs one unit: it settles ties.
 SCALE = 1 << 24
 
-_tries: dict[str, ScoreTrie] = {}
-
-
 class ScoreTrie:
     def __init__(self, vocabulary: P.Vocabulary):
         self.vocab = {p: round(float(vocabulary.scores[i]) * 16) * SCALE - 1 for p, i in vocabulary.pieces.items()}
@@ -74,9 +71,7 @@ class ScoreTrie:
 
 
 def trie(path: str) -> ScoreTrie:
-    if path not in _tries:
-        _tries[path] = ScoreTrie(P.vocabulary(path))
-    return _tries[path]
+    return C.kept(("tokencounts", path), lambda: ScoreTrie(P.vocabulary(path)))
 
 
 def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,6 +79,7 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     rows = C.own_columns(docs, id_col, text_col).toDF("id", "text")
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
+    @C.keeping
     def make():
         words = trie(model)
 

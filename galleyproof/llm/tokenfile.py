@@ -47,9 +47,6 @@ INDEX_MAGIC, TABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Words whose ids a worker keeps; beyond it the cache starts anew. Bounds memory, never results.
 CACHE_WORDS = 900_000
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -128,9 +125,7 @@ class WordEncoder:
 
 def encoder(path: str) -> WordEncoder:
     """One encoder per worker and tokenizer."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return C.kept(("tokenfile", path), lambda: WordEncoder(path))
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -251,7 +246,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
             n_docs, n_tokens = writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "path": uri, "n_docs": n_docs, "n_tokens": n_tokens}])
 
-    return C.settle(rows.mapInArrow(write, MANIFEST))
+    return C.settle(C.narrow_batches(rows).mapInArrow(write, MANIFEST))
 
 
 def read_token_files(manifest: DataFrame, id_type: T.DataType = T.LongType()) -> DataFrame:
