@@ -63,6 +63,11 @@ def let_go() -> None:
 def trim() -> None:
     """Give memory that is free within the worker back to the system."""
     gc.collect()
+    release()
+
+
+def release() -> None:
+    """Give buffers that are free back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -127,6 +132,18 @@ def map_chunks(
     return narrow_batches(df).mapInArrow(run, schema)
 
 
+def grouped(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``work`` on large groups, with the buffers of each given back after it: workers that wait hold little."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return work(table)
+        finally:
+            release()
+
+    return run
+
+
 def keeping(make: Callable) -> Callable:
     """Mark a ``make`` that asks for its tables by ``kept``."""
     make.keeping = True

@@ -71,26 +71,49 @@ def unpack_arrays(body: bytes) -> list[np.ndarray]:
     return out
 
 
+#: Positions that are hashed at a time.
+KEY_BLOCK = 1 << 16
+
+
 def window_keys(text: np.ndarray, min_len: int, gram: int) -> np.ndarray:
     """For each position the least gram hash of the window that starts there (windows that run past the text are meaningless)."""
     words = I.byte_words(text, min_len + gram)
-    n = len(text)
-    h = words[: n + min_len] * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(8, gram, 8):
+    n, span = len(text), min_len - gram + 1
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, KEY_BLOCK):
+        b = min(n, a + KEY_BLOCK)
+        stop = b + span - 1
+        h = words[a:stop] * np.uint64(0x9E3779B97F4A7C15)
+        for k in range(8, gram, 8):
+            h ^= h >> np.uint64(29)
+            k = min(k, gram - 8)
+            h += words[a + k : stop + k]
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(29)
-        h += words[k : k + n + min_len] if k + 8 <= gram else words[gram - 8 : gram - 8 + n + min_len]
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(29)
-    span = min_len - gram + 1
-    low, width = h, 1
-    while width * 2 <= span:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if width < span:
-        low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-    return low[:n]
+        width = 1
+        while width * 2 <= span:
+            h = np.minimum(h[:-width], h[width:])
+            width *= 2
+        if width < span:
+            h = np.minimum(h[: len(h) - (span - width)], h[span - width :])
+        out[a:b] = h
+    return out
+
+
+def distinct(strings: pa.Array, scope: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each string's place among the distinct (string, scope), in order of appearance, and where each of those first stands."""
+    place = np.asarray(strings.dictionary_encode().indices, dtype=np.int64)
+    if len(scope) and scope.min() != scope.max():
+        which, place = np.unique(scope, return_inverse=True)[1], place.copy()
+        _, first, back = np.unique(place * (int(which.max()) + 1) + which, return_index=True, return_inverse=True)
+        rank = np.empty(len(first), np.int64)
+        rank[np.argsort(first)] = np.arange(len(first))
+        place = rank[back]
+    first = np.empty(int(place.max(initial=-1)) + 1, np.int64)
+    first[place[::-1]] = np.arange(len(place))[::-1]
+    return place, first
 
 
 class Batch:
@@ -101,21 +124,22 @@ class Batch:
         self.text, self.offsets = C.flat_text(table["text"])
         self.ids = np.asarray(pc.fill_null(table["id"], int(NO_ID)), dtype=np.int64)
         scope = np.asarray(table["scope"], dtype=np.int64)
-        sizes = np.maximum(np.diff(self.offsets) - min_len + 1, 0)
-        where = C.ragged(self.offsets[:-1], sizes)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        if not len(where):
-            self.start = self.count = self.doc = self.shard = self.code = np.zeros(0, np.int64)
-            self.scope = np.zeros(0, np.int64)
-            return
-        key = window_keys(self.text, min_len, gram)[where]
-        key = key ^ (scope.astype(np.uint64)[doc] * np.uint64(0xD6E8FEB86659FD93))
-        new = np.ones(len(where), bool)
-        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        first = np.flatnonzero(new)
-        self.start, self.doc, key = where[first], doc[first], key[first]
-        self.count = np.diff(np.append(first, len(where)))
+        stop = np.maximum(self.offsets[1:] - min_len + 1, self.offsets[:-1])
+        has = stop > self.offsets[:-1]
+        key = window_keys(self.text, min_len, gram)
+        # a stretch starts where the key changes, and with its text; no window starts in a text's last bytes
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        new[self.offsets[:-1][has]] = True
+        edge = np.zeros(len(key) + 1, np.int8)
+        edge[self.offsets[:-1][has]] += 1
+        edge[stop[has]] -= 1
+        new &= np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+        self.start = np.flatnonzero(new)
+        self.doc = np.searchsorted(self.offsets, self.start, side="right") - 1
+        self.count = np.minimum(np.append(self.start[1:], len(key)), stop[self.doc]) - self.start
         self.scope = scope[self.doc]
+        key = key[self.start] ^ (self.scope.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         self.shard = (key % np.uint64(shards)).astype(np.int64)
         self.code = (self.shard << 32) | ((key // np.uint64(shards)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
@@ -141,20 +165,16 @@ class Batch:
         return use[np.argsort(self.shard[use], kind="stable")]
 
     def strings(self, use: np.ndarray, min_len: int):
-        """Distinct stretches in the order sent: place of each used stretch among them, and (shard, scope, bytes, least id, greatest id)."""
-        text = self.text.tobytes()
-        known: dict[tuple, int] = {}
-        place = np.empty(len(use), np.int64)
+        """Distinct stretches in the order sent: place of each used stretch among them, and their (shard, scope, bytes, least id, greatest id)."""
+        raw = self.text.tobytes()
         start, stop = self.start[use].tolist(), (self.start[use] + self.count[use] + min_len - 1).tolist()
-        for k, (a, b, s) in enumerate(zip(start, stop, self.scope[use].tolist(), strict=True)):
-            place[k] = known.setdefault((s, text[a:b]), len(known))
+        strings = pa.array([raw[a:b] for a, b in zip(start, stop, strict=True)], pa.large_binary())
+        place, first = distinct(strings, self.scope[use])
         ids = self.ids[self.doc[use]]
-        low, high = np.full(len(known), NO_ID), np.full(len(known), np.iinfo(np.int64).min)
+        low, high = np.full(len(first), NO_ID), np.full(len(first), np.iinfo(np.int64).min)
         np.minimum.at(low, place, ids)
         np.maximum.at(high, place, ids)
-        shard = np.zeros(len(known), np.int64)
-        shard[place] = self.shard[use]
-        return place, shard, list(known), low, high
+        return place, self.shard[use[first]], self.scope[use[first]], strings.take(pa.array(first)), low, high
 
 
 def _pack_batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
@@ -217,31 +237,23 @@ def _by_kind(table: pa.Table) -> tuple[int, pa.Table, dict[int, dict[int, bytes]
 def _answer_strings(table: pa.Table, min_len: int, smaller: bool) -> pa.Table:
     """Suffix array over a shard's distinct stretches; one bit a window."""
     bodies = [unpack_arrays(b) for b in table["body"].to_pylist()]
-    known: dict[tuple, int] = {}
-    places, least, greatest, own = [], [], [], []
-    for sizes, scope, low, high, data in bodies:
-        raw, at, place = data.tobytes(), 0, np.empty(len(sizes), np.int64)
-        for k, (n, s) in enumerate(zip(sizes.tolist(), scope.tolist(), strict=True)):
-            place[k] = known.setdefault((s, raw[at : at + n]), len(known))
-            at += n
-        places.append(place)
-        least.append(low)
-        greatest.append(high)
-    place = np.concatenate(places)
+    all_sizes, all_scope, all_low, all_high, all_bytes = (np.concatenate(x) for x in zip(*bodies, strict=True))
+    strings = C.rebuilt(all_bytes.tobytes(), np.concatenate(([0], np.cumsum(all_sizes, dtype=np.int64)))).cast(pa.large_binary())
+    place, known = distinct(strings, all_scope)
+    places = np.split(place, np.cumsum([len(b[0]) for b in bodies])[:-1])
     low, high = np.full(len(known), NO_ID), np.full(len(known), np.iinfo(np.int64).min)
-    np.minimum.at(low, place, np.concatenate(least))
-    np.maximum.at(high, place, np.concatenate(greatest))
-    strings = [t for _, t in known]
-    scope = np.array([s for s, _ in known], np.int64)
-    text = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8)
-    sizes = np.array([len(t) for t in strings], np.int64)
+    np.minimum.at(low, place, all_low)
+    np.maximum.at(high, place, all_high)
+    scope, sizes = all_scope[known], all_sizes[known].astype(np.int64)
     begin = np.cumsum(sizes + 1) - sizes - 1
+    # the end of a string is the least symbol
+    symbols = np.zeros(int(sizes.sum()) + len(sizes), np.uint8)
+    symbols[C.ragged(begin, sizes)] = C.flat_text(strings.take(pa.array(known)))[0]
+    symbols[C.ragged(begin, sizes)] += 1
     windows = sizes - min_len + 1
-    # the separator becomes the least symbol
-    symbols = np.where(text == 0xFF, 0, text + 1).astype(np.uint8)
-    order = I.suffix_array(symbols, 256)
+    order = I.suffix_array(symbols)
     stretch = np.repeat(np.arange(len(sizes)), sizes + 1)
-    valid = np.arange(len(text)) - begin[stretch] < windows[stretch]
+    valid = np.arange(len(symbols)) - begin[stretch] < windows[stretch]
     order = order[valid[order]]
     new = I.permuted_lcp(symbols, order, min_len) < min_len
     group = np.cumsum(new) - 1
@@ -252,7 +264,7 @@ def _answer_strings(table: pa.Table, min_len: int, smaller: bool) -> pa.Table:
     first, last = np.full(n, NO_ID), np.full(n, np.iinfo(np.int64).min)
     np.minimum.at(first, group, low[holder])
     np.maximum.at(last, group, high[holder])
-    at_text = np.zeros(len(text), np.int64)
+    at_text = np.zeros(len(symbols), np.int64)
     at_text[order] = first[group] if smaller else first[group] != last[group]
     out = []
     for (b_sizes, _, b_low, _, _), where in zip(bodies, places, strict=True):
@@ -268,8 +280,8 @@ def _covered(batch: Batch, answers: dict[int, dict[int, bytes]], min_len: int, s
     hit = np.zeros(len(batch.text) + 1, np.int64)
     if len(batch.start):
         use = batch.shared(answers[1])
-        place, shard, strings, low, _ = batch.strings(use, min_len)
-        count = np.array([len(t) for _, t in strings], np.int64) - min_len + 1
+        place, shard, _, strings, low, _ = batch.strings(use, min_len)
+        count = np.asarray(pc.binary_length(strings), dtype=np.int64) - min_len + 1
         bits = []
         for s in np.unique(shard).tolist():
             bits.append(np.unpackbits(np.frombuffer(answers[2][s], np.uint8), count=int(count[shard == s].sum())))
@@ -314,13 +326,11 @@ def cover(
         batch = Batch(texts, shards, min_len, gram)
         if not len(batch.start):
             return _rows(number, 2, [], [])
-        _, shard, strings, low, high = batch.strings(batch.shared(answers[1]), min_len)
+        _, shard, scope, strings, low, high = batch.strings(batch.shared(answers[1]), min_len)
+        raw, at = C.flat_text(strings)
+        size = np.diff(at).astype(np.uint32)
         cuts = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
-        bodies = []
-        for a, b in _ranges(cuts, len(strings)):
-            part = strings[a:b]
-            raw = np.frombuffer(b"".join(t for _, t in part), np.uint8)
-            bodies.append(pack_arrays(np.array([len(t) for _, t in part], np.uint32), np.array([s for s, _ in part], np.int64), low[a:b], high[a:b], raw))
+        bodies = [pack_arrays(size[a:b], scope[a:b], low[a:b], high[a:b], raw[at[a] : at[b]]) for a, b in _ranges(cuts, len(strings))]
         return _rows(number, 2, shard[cuts], bodies)
 
     def finish_batch(table: pa.Table) -> pa.Table:
@@ -329,11 +339,11 @@ def cover(
         return finish(texts, batch.text, batch.offsets, _covered(batch, answers, min_len, smaller))
 
     sets = _send_sets(batches, shards, min_len, gram)
-    shared = C.settle(sets.groupBy("shard").applyInArrow(_answer_sets, ROW))
+    shared = C.settle(sets.groupBy("shard").applyInArrow(C.grouped(_answer_sets), ROW))
     known = batches.unionAll(shared)
-    strings = known.groupBy("batch").applyInArrow(send_strings, ROW)
-    bits = strings.groupBy("shard").applyInArrow(lambda t: _answer_strings(t, min_len, smaller), ROW)
-    return known.unionAll(bits).groupBy("batch").applyInArrow(finish_batch, schema)
+    strings = known.groupBy("batch").applyInArrow(C.grouped(send_strings), ROW)
+    bits = strings.groupBy("shard").applyInArrow(C.grouped(lambda t: _answer_strings(t, min_len, smaller)), ROW)
+    return known.unionAll(bits).groupBy("batch").applyInArrow(C.grouped(finish_batch), schema)
 
 
 def spans_of(covered: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

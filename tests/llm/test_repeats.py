@@ -68,3 +68,22 @@ def test_suffix_arrays_and_common_prefixes():
             while c < 20 and a[c] == b[c]:
                 c += 1
             assert common[k] == c
+
+
+def test_suffix_arrays_of_names_and_runs():
+    pick = np.random.default_rng(3)
+    for k in range(300):
+        plain = pick.integers(0, pick.integers(1, 6), pick.integers(1, 60))
+        for text in (plain, np.repeat(plain, pick.integers(1, 9, len(plain))), np.tile(plain, 4), plain * 100_000):
+            want = sorted(range(len(text)), key=lambda i, t=text.tolist(): t[i:])
+            assert induced.suffix_array(text.astype(np.int64)).tolist() == want
+            if text.max() < 256:
+                assert induced.suffix_array(text.astype(np.uint8)).tolist() == want
+        if k % 50 == 0:  # longer than the rounds of packed symbols
+            deep = np.concatenate([np.append(plain, [0] * 90 + [k % 7]) for k in range(6)])
+            assert induced.suffix_array(deep.astype(np.uint8)).tolist() == sorted(range(len(deep)), key=lambda i, t=deep.tolist(): t[i:])
+
+
+def test_a_megabyte_of_equal_bytes():
+    n = 1 << 20
+    assert (induced.suffix_array(np.full(n, 32, np.uint8)) == np.arange(n - 1, -1, -1)).all()
