@@ -1,9 +1,11 @@
 """N-gram Jaccard join by a MinHash LSH forest, verified exactly.
 
 Documents become sets of hashed five-word shingles; equal sets are one node. A node's signature is a path in each of TREES prefix tries
-(MAX_DEPTH min-hashes). Paths match by sorted prefixes; the matched length starts at MAX_DEPTH and is shortened until nodes of just
-the threshold meet in some tree with probability RECALL or more. Every matched prefix ties its nodes to its least one; tied nodes
-are a candidate group, and all pairs of a group are verified on the whole sets.
+(MAX_DEPTH min-hashes, PART bytes each). A trie is its paths in sorted order, dealt over the tasks by range: nodes that share a prefix
+stand side by side, and the common prefix of neighbours tells how deep. The matched prefix is shortened from MAX_DEPTH until a pair of
+just the threshold meets in some tree with probability RECALL or more; so the depth follows from threshold and target, and holds for
+every pair, whatever the data. A run of neighbours that match ties its nodes to its first one (a run that goes on in the next task is
+tied across the border); tied nodes are a candidate group, and all pairs of a group are verified on the whole sets.
 
 Verification works on blocks: a group of n nodes is cut into blocks of at most BLOCK, each pair of blocks is a task of its own that
 counts links without giving the pairs out, and only a spanning forest of links leaves it. So a large group is spread over tasks and
@@ -11,7 +13,7 @@ no partner or candidate is dropped; comparisons within one group of *different*
 
 Defined results: texts of one to four words have one shingle of all words; a null or word-less text is a class of its own without
 links; repeated rows and equal texts share a class and count each other as links; a null id never names a class that has other ids;
-extra columns are passed over.
+extra columns are passed over. Shingles and whole sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +31,8 @@ from galleyproof.llm import graph
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, RECALL = 20, 6, 0.999
+#: Bytes of a path's step.
+PART = 2
 #: Most nodes of a block that is verified at a time.
 BLOCK = 64
 
@@ -74,7 +79,7 @@ def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
     return total[new], np.bincount(of[new], minlength=n)
 
 
-SIGNED = T.StructType([T.StructField("id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+SIGNED = T.StructType([T.StructField("id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("paths", T.BinaryType())])
 
 
 def _sets_to_nodes(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -83,41 +88,79 @@ def _sets_to_nodes(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(raw[b - 8 * c : b]) if c else 0 for b, c in zip(stop.tolist(), counts.tolist(), strict=True)), np.uint64, len(counts)).astype(np.int64)
 
 
-def _prefix_keys(values: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
-    """Per non-empty set and tree, a hash of the path's first ``depth`` min-hashes."""
-    begin = np.cumsum(counts) - counts
+def _paths(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Per non-empty set, its path in every tree: TREES x MAX_DEPTH steps of PART bytes."""
     use = counts > 0
+    begin = (np.cumsum(counts) - counts)[use]
     mixed = values ^ (values >> np.uint64(31))
-    keys = np.zeros((int(use.sum()), TREES), np.uint64)
-    for t in range(TREES):
-        path = np.full(len(keys), t + 1, np.uint64)
-        for d in range(depth):
-            h = mixed * _SEEDS[t * MAX_DEPTH + d]
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            low = np.minimum.reduceat(h, begin[use])
-            path = (path ^ low) * np.uint64(0xBF58476D1CE4E5B9)
-            path ^= path >> np.uint64(30)
-        keys[:, t] = path
-    return keys.astype(np.int64)
-
-
-def sign(docs: DataFrame, depth: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, node (0: no words), keys."""
+    steps = np.zeros((len(begin), TREES * MAX_DEPTH), ">u2")
+    for k in range(TREES * MAX_DEPTH):
+        h = mixed * _SEEDS[k]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        steps[:, k] = np.minimum.reduceat(h, begin) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)
+    return steps.view(np.uint8).reshape(len(begin), -1)
+
+
+def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, node (0: no words), paths (none without words)."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def work(table: pa.Table) -> pa.Table:
         values, counts = shingle_sets(table["text"])
         nodes = _sets_to_nodes(values, counts)
-        keys = np.zeros((len(counts), TREES), np.int64)
+        paths: list[bytes | None] = [None] * len(counts)
         if len(values):
-            keys[counts > 0] = _prefix_keys(values, counts, depth)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * TREES, pa.int32()), pa.array(keys.reshape(-1)))
-        return pa.table([table["id"], pa.array(nodes), lists], names=SIGNED.names)
+            for k, path in zip(np.flatnonzero(counts).tolist(), _paths(values, counts), strict=True):
+                paths[k] = path.tobytes()
+        return pa.table([table["id"], pa.array(nodes), pa.array(paths, pa.binary())], names=SIGNED.names)
 
     return C.map_chunks(rows, lambda: work, SIGNED, target=4 << 20)
 
 
+TIES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("task", T.IntegerType()), T.StructField("first", T.BinaryType()), T.StructField("last", T.BinaryType())])
+
+
+def ties(nodes: DataFrame, depth: int) -> DataFrame:
+    """(a, b) of nodes that share a prefix of ``depth`` in some tree, each tied to the first of its run of the sorted paths."""
+    size = MAX_DEPTH * PART
+    one = nodes.select("node", "paths", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    trie = one.select("tree", F.expr(f"substring(paths, 1 + tree * {size}, {size})").alias("path"), "node")
+    # the node too deals out a path that very many nodes have
+    trie = trie.repartitionByRange("tree", "path", "node").sortWithinPartitions("tree", "path", "node")
+
+    def runs(batches):
+        task, first, last, root = TaskContext.get().partitionId(), None, None, 0
+        opened = 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key = np.empty((n, 1 + depth * PART), np.uint8)
+            key[:, 0] = np.asarray(batch.column("tree"))
+            key[:, 1:] = np.frombuffer(b"".join(batch.column("path").to_pylist()), np.uint8).reshape(n, size)[:, : depth * PART]
+            node = np.asarray(batch.column("node"), dtype=np.int64)
+            same = np.zeros(n, bool)
+            same[1:] = (key[1:] == key[:-1]).all(1)
+            same[0] = last is not None and key[0].tobytes() == last
+            if first is None:
+                first, opened = key[0].tobytes(), int(node[0])
+            begin = np.maximum.accumulate(np.where(same, -1, np.arange(n)))
+            roots = np.where(begin >= 0, node[np.maximum(begin, 0)], root)
+            last, root = key[-1].tobytes(), int(roots[-1])
+            tied = np.flatnonzero(same)
+            none = pa.nulls(len(tied))
+            yield from pa.table([pa.array(node[tied]), pa.array(roots[tied]), none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary())], names=TIES.names).to_batches()
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([opened]), pa.array([root]), pa.array([task], pa.int32()), pa.array([first], pa.binary()), pa.array([last], pa.binary())], names=TIES.names)
+
+    found = C.settle(trie.mapInArrow(runs, TIES))
+    # one row a task: a run may go on over its border
+    border = Window.orderBy("task")
+    across = found.filter("task is not null").select("first", F.col("a").alias("b"), F.lag("last").over(border).alias("before"), F.lag("b").over(border).alias("a"))
+    return found.filter("task is null").select("a", "b").unionAll(across.filter("first = before").select("a", "b"))
+
+
 SETS = T.StructType([*(T.StructField(n, T.LongType()) for n in ("node", "comp", "copies", "block", "other", "blocks")), T.StructField("shingles", T.BinaryType())])
 LINKS = T.StructType([T.StructField("node", T.LongType()), T.StructField("root", T.LongType()), T.StructField("links", T.LongType())])
 
@@ -164,12 +207,9 @@ def _verify(table: pa.Table, threshold: float) -> pa.Table:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(signed, found): each row's id and node, and for each node copies, n_links, class_node, class_id (the least id of the class)."""
-    signed = C.settle(sign(docs, matched_depth(threshold, recall), id_col, text_col))
-    nodes = C.settle(signed.filter("node != 0").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("keys").alias("keys")))
-    paths = nodes.select("node", F.explode("keys").alias("key"))
-    least = paths.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").select("key", "least")
-    ties = paths.join(least, "key").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    comps = graph.components(ties)
+    signed = C.settle(sign(docs, id_col, text_col))
+    nodes = C.settle(signed.filter("node != 0").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("paths").alias("paths")))
+    comps = graph.components(ties(nodes, matched_depth(threshold, recall)))
     sizes = comps.groupBy("comp").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / block).cast("long")
     groups = comps.join(sizes, "comp").select("node", "comp", blocks.alias("blocks"))

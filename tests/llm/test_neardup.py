@@ -103,3 +103,17 @@ def test_components(spark):
 def test_shortening_reaches_the_target():
     depth = neardup.matched_depth()
     assert neardup.reached(depth) >= neardup.RECALL and (depth == neardup.MAX_DEPTH or neardup.reached(depth + 1) < neardup.RECALL)
+
+
+def test_runs_of_the_sorted_paths(spark):
+    """Ties within and across tasks join just the nodes that share a prefix in some tree."""
+    pick = np.random.default_rng(4)
+    size = neardup.MAX_DEPTH * neardup.PART
+    # few first steps, so that runs are long and go over borders
+    paths = {n: [bytes(pick.integers(0, 2, 2).repeat(2).tolist()) + bytes(pick.integers(0, 255, size - 4).tolist()) for _ in range(neardup.TREES)] for n in range(1, 40)}
+    own = {n: [bytes([n + t, n]) * (size // 2) for t in range(neardup.TREES)] for n in range(100, 130)}
+    rows = [(n, bytearray(b"".join(p))) for n, p in (paths | own).items()]
+    frame = spark.createDataFrame(rows, "node long, paths binary").repartition(7)
+    got = {r.node: r.comp for r in graph.components(neardup.ties(frame, 2)).collect()}
+    assert set(got) == set(paths) and len(set(got.values())) == 1
+    assert neardup.ties(frame.limit(0), 2).count() == 0
