@@ -8,7 +8,8 @@ The shard text is projected on the benchmark's vocabulary first: a word that no
 only maximal runs of phrase words, at least as long as the shortest phrase, enter the index. No occurrence is lost by that.
 
 Defined results: a null or word-less text has no words and no hit; a null or word-less item has no window; repeated items and
-repeated documents each count by themselves; an empty benchmark leaves every document clean; extra columns are passed over.
+repeated documents each count by themselves, repeated item ids (null ones too) as one item, and a null id adds nothing to the joined ids;
+a null document id is passed on; an empty benchmark leaves every document clean; extra columns are passed over.
 """
 
 from __future__ import annotations
@@ -258,7 +259,7 @@ def _search(table: pa.Table, phrases: Phrases) -> pa.Table:
         s = start[mine] - first[i]
         old = spans[i]
         spans[i] = merged(np.concatenate((s, [x["start"] for x in old])).astype(np.int64), np.concatenate((s + size[mine], [x["end"] for x in old])).astype(np.int64))
-        items[i] = sorted({x for p in set(phrase[mine].tolist()) for x in phrases.holders[p]} | set(items[i]))
+        items[i] = sorted({x for p in set(phrase[mine].tolist()) for x in phrases.holders[p]} | set(items[i]), key=lambda x: (x is None, x or ""))
     schema = table.schema
     return pa.table([table["id"], table["text"], pa.array(counts, pa.int64()), pa.array(spans, schema.field("spans").type), pa.array(items, schema.field("items").type)], schema=schema)
 

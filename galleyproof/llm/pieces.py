@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 from galleyproof.llm import common as C
 
-SPACE = "▁"
+SPACE, GAP = "▁", " "
 MARK = SPACE.encode()
 
 
@@ -47,6 +47,13 @@ class Vocabulary:
                 self.pieces[piece] = i
                 self.output.append(piece.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.pieces))
+        # by the last byte of a character and the first of the next: whether some piece holds two such characters together
+        self.joins = np.zeros(1 << 16, bool)
+        for piece in self.pieces:
+            raw = piece.replace(SPACE, GAP).encode()
+            inner = [k for k in range(1, len(raw)) if raw[k] & 0xC0 != 0x80]
+            self.joins[[raw[k - 1] << 8 | raw[k] for k in inner]] = True
+        self.joins.reshape(256, 256)[:, 0x80:0xC0] = True
 
 
 @lru_cache(maxsize=4)
@@ -54,40 +61,25 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def stretches(texts: pa.ChunkedArray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct stretches (a run of space marks, then all up to the next space), which stretch stands where, and its row.
+def stretches(vocab: Vocabulary, texts: pa.ChunkedArray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """Stretches that no piece crosses, in order and coded; each one's row; and whether it begins a pre-token.
 
-    A text that is not empty gets a space mark in front; the space mark in a text counts as a space.
+    A text that is not empty gets a space in front; the space mark in a text counts as a space. A pre-token is a run of spaces and all
+    up to the next space; it is cut further between characters that no piece holds together.
     """
     data, offsets = C.flat_text(texts)
-    rows = C.rebuilt(data.tobytes(), offsets)
-    if pc.any(pc.match_substring(rows, SPACE)).as_py():
-        rows = pc.replace_substring(rows, SPACE, " ")
-    lists = pc.split_pattern(rows, " ")
-    parts = lists.flatten()
-    sizes = np.diff(np.asarray(lists.offsets, dtype=np.int64))
-    row = np.repeat(np.arange(len(rows)), sizes)
-    keep = np.repeat(np.diff(offsets) > 0, sizes)
-    if not keep.all():
-        parts, row = parts.filter(pa.array(keep)), row[keep]
-    coded = parts.dictionary_encode()
-    words = [SPACE + w for w in coded.dictionary.to_pylist()]
-    at = np.asarray(coded.indices, dtype=np.int64)
-    if SPACE not in words:
-        return words, at, row
-    # bare marks join the stretch behind them in the same row
-    bare = at == words.index(SPACE)
-    last = np.ones(len(row), bool)
-    last[:-1] = row[1:] != row[:-1]
-    ends = ~bare | last
-    group = np.cumsum(ends) - ends
-    marks = np.bincount(group) - 1
-    at, row = at[ends], row[ends]
-    known = {w: i for i, w in enumerate(words)}
-    for i in np.flatnonzero(marks).tolist():
-        word = SPACE * int(marks[i]) + words[at[i]]
-        if word not in known:
-            known[word] = len(words)
-            words.append(word)
-        at[i] = known[word]
-    return words, at, row
+    if MARK in data.tobytes():
+        data, offsets = C.flat_text(pc.replace_substring(C.rebuilt(data.tobytes(), offsets), SPACE, GAP))
+    filled = np.diff(offsets) > 0
+    data = np.insert(data, offsets[:-1][filled], 0x20)
+    begins = (offsets[:-1] + np.cumsum(filled) - filled)[filled]
+    cut = np.ones(len(data), bool)
+    cut[1:] = ~vocab.joins[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+    cut[begins] = True
+    first = np.zeros(len(data), bool)
+    first[begins] = True
+    at = np.flatnonzero(cut)
+    own = first[at]
+    row = np.flatnonzero(filled)[np.cumsum(own) - 1] if len(at) else np.zeros(0, np.int64)
+    head = own | ((data[at] == 0x20) & (data[at - 1] != 0x20))
+    return C.rebuilt(data.tobytes(), np.append(at, len(data))).dictionary_encode(), row, head

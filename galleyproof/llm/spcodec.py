@@ -38,13 +38,12 @@ FIT_BITS = 20
 #: Bounds on memory; results do not depend on them.
 MATCH_BYTES, WORD_BYTES, DECODE_ROWS = 4 << 20, 1 << 19, 512
 BREAK = b"\xff"
-GAP = " "
 
 
 class Codec:
     def __init__(self, vocabulary: P.Vocabulary):
         self.vocab = vocabulary
-        self.pieces = {p.replace(P.SPACE, GAP): i for p, i in vocabulary.pieces.items()}
+        self.pieces = {p.replace(P.SPACE, P.GAP): i for p, i in vocabulary.pieces.items()}
         self.scores = {p: float(vocabulary.scores[i]) for p, i in self.pieces.items()}
         self.spelling = {i: p for p, i in self.pieces.items()}
         own = [(p.encode(), i, len(p)) for p, i in self.pieces.items() if self.merge(p) == [p]]
@@ -57,13 +56,6 @@ class Codec:
         self.piece_chars = np.array([n for _, _, n in own], np.int64)
         self.low_key = self._keys([b for b, _, _ in own], b"\x00")
         self.high_key = self._keys([b for b, _, _ in own], b"\xff")
-        # by the last byte of a character and the first of the next: whether some piece holds two such characters together
-        self.joins = np.zeros(1 << 16, bool)
-        for p in self.pieces:
-            raw = p.encode()
-            inner = [k for k in range(1, len(raw)) if raw[k] & 0xC0 != 0x80]
-            self.joins[[raw[k - 1] << 8 | raw[k] for k in inner]] = True
-        self.joins.reshape(256, 256)[:, 0x80:0xC0] = True
         self.fit_pair, self.fit_answer = np.full(1 << FIT_BITS, -1, np.int64), np.zeros(1 << FIT_BITS, bool)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -257,21 +249,6 @@ class Codec:
         stop = np.cumsum(np.bincount(of, minlength=len(words))) * 4
         return [flat[a:b] for a, b in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
 
-    def stretches(self, texts: pa.ChunkedArray) -> tuple[pa.DictionaryArray, np.ndarray]:
-        """All stretches in order, coded, and each one's row. A text that is not empty gets a space in front; the space mark is a space."""
-        data, offsets = C.flat_text(texts)
-        if P.MARK in data.tobytes():
-            data, offsets = C.flat_text(pc.replace_substring(C.rebuilt(data.tobytes(), offsets), P.SPACE, GAP))
-        filled = np.diff(offsets) > 0
-        data = np.insert(data, offsets[:-1][filled], 0x20)
-        begins = (offsets[:-1] + np.cumsum(filled) - filled)[filled]
-        cut = np.ones(len(data), bool)
-        cut[1:] = ~self.joins[(data[:-1].astype(np.uint16) << 8) | data[1:]]
-        cut[begins] = True
-        at = np.flatnonzero(cut)
-        row = np.flatnonzero(filled)[np.cumsum(np.isin(at, begins, assume_unique=True)) - 1] if len(at) else np.zeros(0, np.int64)
-        return C.rebuilt(data.tobytes(), np.append(at, len(data))).dictionary_encode(), row
-
     def _learn(self, words: list[str]) -> None:
         if self.held > CACHE_BYTES:
             self.older, self.known, self.held = self.known, {}, 0
@@ -281,8 +258,8 @@ class Codec:
         fresh = [w for w, ids in zip(new, found, strict=True) if ids is None]
         known.update((w, ids) for w, ids in zip(new, found, strict=True) if ids is not None)
         # runs of spaces have equal scores, where the leftmost rule reaches across pieces: these few are merged plainly, at every length
-        plain = [w for w in fresh if w.startswith(GAP * 3)]
-        rest = [w for w in fresh if not w.startswith(GAP * 3)] if plain else fresh
+        plain = [w for w in fresh if w.startswith(P.GAP * 3)]
+        rest = [w for w in fresh if not w.startswith(P.GAP * 3)] if plain else fresh
         if rest:
             part = np.cumsum(np.fromiter(map(len, rest), np.int64, len(rest))) // WORD_BYTES
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(rest)]
@@ -294,7 +271,7 @@ class Codec:
 
     def encode(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of all texts, and each text's number of ids."""
-        coded, row = self.stretches(texts)
+        coded, row, _ = P.stretches(self.vocab, texts)
         if not len(coded):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         words, at = coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int64)

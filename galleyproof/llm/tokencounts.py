@@ -1,13 +1,14 @@
 """Token counts by dynamic programming over a trie.
 
-Distinct pre-tokens go into a trie; the best unigram score of each prefix is computed once, when its node is made, from the
-scores of its ancestors, so words that begin alike share that work. A word's token count is kept at its terminal node. Texts then
-add up the counts of their pre-tokens.
+Distinct pre-tokens, cut where no piece of the vocabulary reaches across, go into a trie; the best unigram score of each prefix is
+computed once, when its node is made, from the scores of its ancestors, so words that begin alike share that work. A word's token count
+is kept at its terminal node. Texts then add up the counts of their parts.
 
 The score of a segmentation is the sum of the vocabulary's piece scores; of equally good ones the one of fewest tokens counts. A
 character that no piece spells costs the lowest score less 10, and counts a token per UTF-8 byte.
 
-The trie lives as long as a Python worker and starts anew beyond MAX_NODES; that bounds memory and leaves every count as it is.
+The trie lives as long as a worker stays with this operator. It starts anew beyond MAX_NODES, and nodes deeper than DEEP characters are
+not stored: from there on a word goes through a window of its last states. Both bound memory and leave every count as it is.
 
 Defined results: null and empty texts have 0 tokens; repeated rows each count; extra columns are passed over.
 """
@@ -22,13 +23,14 @@ from pyspark.sql import types as T
 from galleyproof.llm import common as C
 from galleyproof.llm import pieces as P
 
-MAX_NODES = 400_000
+MAX_NODES, DEEP = 400_000, 64
 #: Scores are scaled to integers, and a token costs one unit: it settles ties.
 SCALE = 1 << 24
 
 class ScoreTrie:
     def __init__(self, vocabulary: P.Vocabulary):
-        self.vocab = {p: round(float(vocabulary.scores[i]) * 16) * SCALE - 1 for p, i in vocabulary.pieces.items()}
+        self.vocabulary = vocabulary
+        self.vocab = {p.replace(P.SPACE, P.GAP): round(float(vocabulary.scores[i]) * 16) * SCALE - 1 for p, i in vocabulary.pieces.items()}
         self.unknown = min(self.vocab.values()) - 160 * SCALE
         self.longest = vocabulary.longest
         self._reset()
@@ -42,32 +44,47 @@ class ScoreTrie:
         children, best, tokens, vocab, longest = self.children, self.best, self.tokens, self.vocab, self.longest
         path = [0]
         node = 0
-        for end, ch in enumerate(word, 1):
+        for end, ch in enumerate(word[:DEEP], 1):
             below = children[node]
             if below is None:
                 below = children[node] = {}
             child = below.get(ch)
             if child is None:
+                child = below[ch] = len(best)
                 size = len(ch.encode())
-                top = best[node] + self.unknown - size
-                count = tokens[node] + size
+                top, count = best[node] + self.unknown - size, tokens[node] + size
                 for start in range(max(0, end - longest), end):
                     score = vocab.get(word[start:end])
                     if score is not None and best[path[start]] + score > top:
-                        top = best[path[start]] + score
-                        count = tokens[path[start]] + 1
-                child = below[ch] = len(best)
+                        top, count = best[path[start]] + score, tokens[path[start]] + 1
                 children.append(None)
                 best.append(top)
                 tokens.append(count)
             node = child
             path.append(node)
-        return tokens[node]
-
-    def counts(self, words: list[str]) -> np.ndarray:
-        if len(self.best) > MAX_NODES:
-            self._reset()
-        return np.fromiter(map(self.count, words), np.int64, len(words))
+        if len(word) <= DEEP:
+            return tokens[node]
+        tops, counts = [best[k] for k in path], [tokens[k] for k in path]
+        for end in range(DEEP + 1, len(word) + 1):
+            size = len(word[end - 1].encode())
+            top, count = tops[-1] + self.unknown - size, counts[-1] + size
+            for back in range(1, min(longest, end) + 1):
+                score = vocab.get(word[end - back : end])
+                if score is not None and tops[-back] + score > top:
+                    top, count = tops[-back] + score, counts[-back] + 1
+            tops.append(top)
+            counts.append(count)
+            if len(tops) > 2 * longest + DEEP:
+                del tops[:-longest], counts[:-longest]
+        return counts[-1]
+
+    def token_counts(self, words: list[str]) -> np.ndarray:
+        out = np.empty(len(words), np.int64)
+        for k, word in enumerate(words):
+            if len(self.best) > MAX_NODES:
+                self._reset()
+            out[k] = self.count(word)
+        return out
 
 
 def trie(path: str) -> ScoreTrie:
@@ -84,11 +101,11 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         words = trie(model)
 
         def work(table: pa.Table) -> pa.Table:
-            distinct, at, row = P.stretches(table["text"])
-            counts = words.counts(distinct)
+            coded, row, head = P.stretches(words.vocabulary, table["text"])
+            counts = words.token_counts(coded.dictionary.to_pylist())
             n = table.num_rows
-            total = np.bincount(row, weights=counts[at], minlength=n).astype(np.int64) if len(row) else np.zeros(n, np.int64)
-            return pa.table([table["id"], pa.array(np.bincount(row, minlength=n)), pa.array(total)], names=schema.names)
+            total = np.bincount(row, weights=counts[np.asarray(coded.indices, dtype=np.int64)], minlength=n).astype(np.int64)
+            return pa.table([table["id"], pa.array(np.bincount(row[head], minlength=n)), pa.array(total)], names=schema.names)
 
         return work
 

@@ -83,3 +83,12 @@ def test_fm_index_counts_and_locates():
         for p, a, b in zip(patterns, low, high, strict=True):
             want = [i for i in range(len(text) - size + 1) if (text[i : i + size] == p).all()]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_null_item_ids(spark):
+    d = spark.createDataFrame([(1, "one two three four"), (None, "one two")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, "one two"), (7, "three four"), (None, "two three")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in D.report(D.find_spans(d, b)).collect()}
+    import hashlib
+
+    assert got == {1: (4, 2, hashlib.sha256(b"7").hexdigest()), None: (2, 1, hashlib.sha256(b"").hexdigest())}

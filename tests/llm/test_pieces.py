@@ -59,15 +59,31 @@ def test_counts_against_plain_programme(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as n_tokens", "2 as id")
     got = {r.doc_id: r.n_tokens for r in tokencounts.count_tokens(docs, P.default_model()).collect()}
     for i, text in list(enumerate(texts))[:60]:
-        whole = (P.SPACE + text.replace(" ", P.SPACE)) if text else ""
+        whole = (" " + text.replace(P.SPACE, " ")) if text else ""
         assert got[i] == best(whole, trie.vocab, trie.unknown), repr(text)[:60]
     assert tokencounts.count_tokens(docs.limit(0), P.default_model()).count() == 0
 
 
 def test_a_small_trie_gives_the_same_counts(monkeypatch, texts):
     whole = tokencounts.ScoreTrie(P.vocabulary(P.default_model()))
-    words = P.stretches(pa.chunked_array([texts]))[0]
-    want = whole.counts(words)
+    words = P.stretches(whole.vocabulary, pa.chunked_array([texts]))[0].dictionary.to_pylist()
+    want = whole.token_counts(words)
     monkeypatch.setattr(tokencounts, "MAX_NODES", 10)
     small = tokencounts.ScoreTrie(P.vocabulary(P.default_model()))
-    assert np.concatenate([small.counts(words[k : k + 50]) for k in range(0, len(words), 50)]).tolist() == want.tolist()
+    assert small.token_counts(words).tolist() == want.tolist()
+    monkeypatch.setattr(tokencounts, "DEEP", 2)
+    assert small.token_counts(words).tolist() == want.tolist()
+
+
+def test_a_long_word_stays_within_the_nodes():
+    trie = tokencounts.ScoreTrie(P.vocabulary(P.default_model()))
+    short, longer, long = trie.token_counts(["tion" * n for n in (100, 200, 200_000)]).tolist()
+    assert long == short + (longer - short) * 1999
+    assert len(trie.best) < 1000
+
+
+def test_pretokens(spark):
+    texts = ["", None, "a", " a  b c ", "  ", "x\ny z.z", "▁a▁b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_pretokens for r in tokencounts.count_tokens(docs, P.default_model()).collect()}
+    assert [got[i] for i in range(len(texts))] == [0, 0, 1, 4, 1, 2, 2]
