@@ -3,7 +3,8 @@
 A word's input is a word embedding (hashed) beside its character embedding (mean and strongest of its hashed 5-byte grams). Both
 tables carry, in their first column, smoothed log-odds from one half of the labelled sample; the rest, the two recurrences, the
 attention and the output are trained by back-propagation through time on the other half. A text is read in overlapping windows
-(WINDOW words, STRIDE apart, the last one ending with the text); every window is scored and the strongest decides.
+(WINDOW words, STRIDE apart, the last one ending with the text); every window is scored and the strongest decides. So each run of
+WINDOW - STRIDE + 1 words lies whole in some window, wherever it stands.
 
 Training reads at most ``max_docs`` labelled rows of at most ``max_chars`` characters, taken by a hash of their id, so the fit costs
 the same at any size of the corpus. Scoring covers every window of every text in one narrow map.
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from galleyproof.llm import common as C
 from galleyproof.llm.induced import byte_words
 
-WINDOW, STRIDE, HIDDEN, DIM = 32, 24, 8, 6
+WINDOW, STRIDE, HIDDEN, DIM = 32, 16, 8, 6
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 15
 #: Bounds of the training sample.
 MAX_DOCS, MAX_CHARS = 5000, 20_000
@@ -312,7 +313,8 @@ def sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_cha
     # at most max_docs ids travel to the scan; texts are not shuffled
     ids = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in picked], "doc_id long, toxic int")
     rows = C.own_columns(docs, "doc_id", "text").filter(F.col("text").isNotNull() & (F.char_length("text") <= max_chars))
-    found = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").collect()
+    # of rows that share an id the least text counts, so max_docs bounds what comes to the driver
+    found = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     place = {r.doc_id: k for k, r in enumerate(picked)}
     found.sort(key=lambda r: (place[r.doc_id], r.text))
     return [r.text for r in found], [r.toxic for r in found]
