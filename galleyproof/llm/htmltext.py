@@ -1,7 +1,9 @@
 """Main text of web pages: a page's structure, and a host's suffix array for what structure does not tell.
 
 Each page's visible text becomes a stream of blocks. Where the page marks its content (``article``, ``main`` and their roles) that
-content, without what the tables below exclude, is the main text. The text outside it, and all text of pages that mark none, goes
+content, without what the tables below exclude, is the main text. Inside it a header is the article's own (its title), headings stay
+whatever their id or class, and a class or id excludes only where it is a label and nothing else (``ad``, ``comment-list``; not
+``notice-text``). The text outside it, and all text of pages that mark none, goes
 into the host's token stream: suffix arrays over the streams find passages that distinct pages of a host repeat. Such a passage only
 names candidates: removed are whole blocks inside them that stand on many of the host's unmarked pages whose longest blocks differ, in
 runs of ``MIN_RUN`` bytes or more. So copies of one article count as one page however many there are, and a page's longest block is
@@ -15,7 +17,8 @@ Passages are compared within a host and across distinct page ids. A host of any
 (see ``repeats``); only the text outside marked content is shuffled, and blocks of unmarked pages are joined to their host's boilerplate.
 
 Defined results: null or empty html gives the empty text; a null url is a host of its own; rows of one page id are one page; repeated
-rows each give their own row; extra columns are passed over.
+rows each give their own row; ids may be of any type; extra columns are passed over. A tag that nothing closes is text; a quote that
+nothing closes is a character.
 """
 
 from __future__ import annotations
@@ -39,7 +42,8 @@ MIN_REPEAT, GRAM = 32, 16
 #: A block is boilerplate from so many pages of distinct longest blocks, and from that share of the host's; removed in runs of so many bytes.
 MIN_PAGES, MIN_SHARE, MIN_RUN = 8, 0.25, 100
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "xmp", "noembed", "noframes", "object")}
 EXCLUDED = frozenset("nav header footer aside form button select dialog menu head label fieldset".split())
@@ -53,13 +57,29 @@ LABELS = frozenset(
 )
 #: Labels that rule out an ``article`` itself; page containers are never ruled out by a label.
 ARTICLE_LABELS = frozenset("ad ads advert advertisement sponsored promo related recommended comment comments reply replies".split())
+#: Words that may stand beside a label in a class or id and leave it a label; beside any other word it is part of a name of content.
+BESIDE = frozenset(
+    "site page main top bottom left right post article entry blog global primary secondary box banner container block wrapper wrap inner outer section area list bar form thread links "
+    "buttons button icons posts articles stories content item items slot unit".split()
+)
 CONTAINERS = frozenset("html body main".split())
+#: Elements that hold an article's own words: an id on them is an anchor, and a class of theirs no label.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 NAME_PART = re.compile(r"[a-z0-9]+")
 
 
-def _verdict(name: str, attributes: str) -> tuple[bool, bool]:
-    """(excluded, content root) of an element."""
-    if name in EXCLUDED:
+def _labelled(value: str, labels: frozenset[str]) -> bool:
+    """Whether a word of a class or id is a label, alone or beside words that say only where or in what it stands."""
+    for word in value.split():
+        parts = NAME_PART.findall(word)
+        if not labels.isdisjoint(parts) and all(p in LABELS or p in BESIDE or p.isdigit() for p in parts):
+            return True
+    return False
+
+
+def _verdict(name: str, attributes: str, within: bool) -> tuple[bool, bool]:
+    """(excluded, content root) of an element; ``within`` marked content a header, and a heading whatever its labels, belongs to it."""
+    if name in EXCLUDED and not (within and name == "header"):
         return True, False
     root = name in ("article", "main")
     if not attributes:
@@ -75,15 +95,49 @@ def _verdict(name: str, attributes: str) -> tuple[bool, bool]:
             root |= value in ("main", "article")
         elif key == "itemprop":
             root |= value == "articlebody"
-        elif key in ("class", "id") and name not in CONTAINERS:
-            labels = ARTICLE_LABELS if name == "article" else LABELS
-            for word in value.split():
-                parts = NAME_PART.findall(word)
-                if parts and parts[0] not in ("with", "has", "no", "is", "js") and not labels.isdisjoint(parts):
-                    return True, False
+        elif key in ("class", "id") and name not in CONTAINERS and name not in HEADINGS:
+            labels = ARTICLE_LABELS if name == "article" else LABELS - {"header", "masthead"} if within else LABELS
+            if _labelled(value, labels):
+                return True, False
     return False, root
 
 
+class Tags:
+    """Where a page's tags end, in time linear in the page whatever it leaves open."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.seen, self.found = 0, -2
+        self.failed: set[int] = set()
+        self.open_ended: set[str] = set()
+
+    def _special(self, at: int) -> int:
+        if not (self.seen <= at <= self.found):
+            m = SPECIAL.search(self.page, at)
+            self.seen, self.found = at, m.start() if m else len(self.page)
+        return self.found
+
+    def end(self, at: int) -> int:
+        """The place behind the tag whose name ends at ``at``: its first > outside quotes, else its first >; 0 if there is none."""
+        if at > self.last:
+            return 0
+        start, page, visited = at, self.page, []
+        while True:
+            k = self._special(at)
+            if k >= len(page) or k in self.failed:
+                self.failed.update(visited)
+                return page.find(">", start) + 1
+            if page[k] == ">":
+                return k + 1
+            visited.append(k)
+            close = -1 if page[k] in self.open_ended else page.find(page[k], k + 1)
+            if close < 0:
+                # a quote that nothing closes is a character
+                self.open_ended.add(page[k])
+                close = k
+            at = close + 1
+
+
 def blocks(page: str) -> tuple[list[str], list[str], bool]:
     """(blocks of marked content, blocks outside it, whether content is marked).
 
@@ -105,15 +159,37 @@ def blocks(page: str) -> tuple[list[str], list[str], bool]:
             if text:
                 (shut if skip else inner if roots else outer).append(text)
 
-    match = TOKEN.match
+    tags = Tags(page)
     while at < end:
-        m = match(page, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            if page[m.start()] != "<" or at - m.start() == 1:
-                held.append(html.unescape(m[0]))
+        if page[at] != "<":
+            stop = page.find("<", at)
+            stop = stop if stop >= 0 else end
+            held.append(html.unescape(page[at:stop]))
+            at = stop
+            continue
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            at = stop + 3 if stop >= 0 else end
+            continue
+        if at > tags.last:
+            # no tag closes any more
+            stop = page.find("<!--", at)
+            held.append(html.unescape(page[at : stop if stop >= 0 else end]))
+            break
+        m = NAME.match(page, at + 1)
+        if m is None and page[at + 1 : at + 2] not in ("!", "?", "/"):
+            held.append("<")
+            at += 1
+            continue
+        stop = tags.end(m.end()) if m else page.find(">", at) + 1
+        if not stop:
+            held.append("<")
+            at += 1
+            continue
+        if m is None:
+            at = stop
             continue
+        name, attributes, at = m[2], page[m.end() : stop - 1], stop
         name = name.lower()
         if m[1]:
             if name in INLINE:
@@ -149,14 +225,14 @@ def blocks(page: str) -> tuple[list[str], list[str], bool]:
             if name == skip[0]:
                 if name == "p":
                     skip = []
-                elif not m[3].endswith("/"):
+                elif not attributes.endswith("/"):
                     skip[1] += 1
             if skip:
                 continue
-        excluded, root = _verdict(name, m[3])
+        excluded, root = _verdict(name, attributes, bool(roots))
         if excluded or name not in INLINE:
             flush()
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
         if excluded:
             skip = [name, 1]
@@ -196,7 +272,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
         found = [blocks(h or "") for h in table["text"].to_pylist()]
         scope = [xxhash.xxh3_64_intdigest(host(u)) - (1 << 63) for u in table["url"].to_pylist()]
-        return pa.table([table["id"].cast(pa.int64()), pa.array(scope, pa.int64()), pa.array(["\n".join(o) for _, o, _ in found], pa.string()), table["id"], table["url"], pa.array([m for *_, m in found])], names=outside.names)
+        # pages are told apart by a hash of their id, whatever its type; a null id is larger than all
+        codes = [None if i is None else (xxhash.xxh3_64_intdigest(repr(i)) >> 2) for i in table["id"].to_pylist()]
+        return pa.table([pa.array(codes, pa.int64()), pa.array(scope, pa.int64()), pa.array(["\n".join(o) for _, o, _ in found], pa.string()), table["id"], table["url"], pa.array([m for *_, m in found])], names=outside.names)
 
     long = lambda name: T.StructField(name, T.LongType())
     page = T.StructType([T.StructField("own", rows.schema["id"].dataType), T.StructField("url", T.StringType()), long("scope"), T.StructField("lines", T.ArrayType(T.StringType())), T.StructField("keys", T.ArrayType(T.LongType())), long("lead"), long("n_repeated")])

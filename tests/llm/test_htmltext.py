@@ -37,13 +37,14 @@ def test_pages_of_the_driver(spark):
 
 
 def test_unmarked_pages_lose_what_the_host_repeats(spark):
-    bar = "Welcome to the site that repeats this long line on every page it has"
-    pages = [(i, f"https://a.example/{i}", f"<body><div>{bar}</div><p>w{i * 7919} unique{i} number{i * 31}</p><p>{bar} {i}day</p></body>") for i in range(6)]
+    bar = "Welcome to the site that repeats this long line on every page it has, and goes on with it for more than a hundred bytes"
+    pages = [(i, f"https://a.example/{i}", f"<body><div>{bar}</div><p>w{i * 7919} unique{i} number{i * 31}</p><p>{bar} {i}day</p></body>") for i in range(10)]
     pages += [(10, "https://b.example/", f"<body><p>{bar}</p></body>"), (11, None, None), (12, None, ""), (12, None, ""), (None, "https://c.example", "<p>no id")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as text", "'m' as marked")
     out = H.extract(df).collect()
     assert len(out) == len(pages)
     by = {r.page_id: r.text for r in out}
-    assert by[3] == f"w{3 * 7919} unique3 number93\n3day"
+    # whole blocks go, on eight pages and more; a block with words of its own stays
+    assert by[3] == f"w{3 * 7919} unique3 number93\n{bar} 3day"
     assert by[10] == bar and by[11] == "" and by[12] == "" and by[None] == "no id"
     assert H.extract(df.limit(0)).count() == 0
