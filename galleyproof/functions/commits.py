@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galleyproof import dims
@@ -22,43 +22,55 @@ def footer(line: Column) -> Column:
     return F.when(colon, by_colon).when(mark, by_mark)
 
 
-def parse(raw: Column) -> dict[str, Column]:
-    """Columns emojis, type, scope, breaking, description, body, footers, is_merge, is_initial, is_wip."""
-    text = F.regexp_replace(raw, r"^[ \t]+", "")
-    prefix = F.regexp_extract(text, PREFIX, 1)
-    emojis = F.regexp_extract_all(prefix, F.lit(r":([\p{Ll}\p{Nd}_]{1,33}):"), 1)
-    rest = F.substring(text, F.char_length(F.regexp_extract(text, PREFIX, 0)) + 1, F.lit(1 << 30))
-    left = trim_space(rest)
-    initial = (F.size(emojis) == 1) & (F.get(emojis, F.lit(0)) == "ghost") & left.rlike("^Initial [Cc]ommit")
-    merge = ~initial & (F.size(emojis) >= 1) & (F.get(emojis, F.lit(0)) == "volcano") & left.startswith("Merge ")
-    special = F.coalesce(initial | merge, F.lit(False))
-    word = F.regexp_extract(rest, r"^([^(:!\n ]*)", 1)
-    typed = (word != "") & rest.rlike(r"^[^(:!\n ]+[(:!]")
-    header = r"^[^(:!\n ]+(?:\(([^)\n]*)\)?)?(!?)(?::[ ]?)?([^\n]*)"
-    header_end = F.char_length(F.regexp_extract(rest, header, 0))
-    ok = ~special & typed
-    desc = F.when(special, left).when(typed, trim_space(F.regexp_extract(rest, header, 3))).otherwise(F.when(word == "", F.lit("")).otherwise(trim_space(rest)))
+PARTS = ("emojis", "type", "scope", "breaking", "description", "body", "footers", "is_merge", "is_initial", "is_wip")
+HEADER = r"^[^(:!\n ]+(?:\(([^)\n]*)\)?)?(!?)(?::[ ]?)?([^\n]*)"
+
+
+def parse(messages: DataFrame, raw: str) -> DataFrame:
+    """``messages`` with PARTS: columns emojis, type, scope, breaking, description, body, footers, is_merge, is_initial, is_wip.
+
+    Stage by stage, so that each extraction is computed once: a projection whose dear columns are read more than once is not merged
+    with the next one.
+    """
+    keep, c = messages.columns, lambda n: F.col(f"_{n}")
+    rest_of = F.lit(1 << 30)
+
+    def stage(df: DataFrame, **made: Column) -> DataFrame:
+        return df.withColumns({f"_{k}": v for k, v in made.items()})
+
+    df = stage(messages, text=F.regexp_replace(F.col(f"`{raw}`"), r"^[ \t]+", ""))
+    df = stage(df, prefix=F.regexp_extract(c("text"), PREFIX, 1), lead=F.regexp_extract(c("text"), PREFIX, 0))
+    df = stage(df, emojis=F.regexp_extract_all(c("prefix"), F.lit(r":([\p{Ll}\p{Nd}_]{1,33}):"), 1), rest=F.substring(c("text"), F.char_length(c("lead")) + 1, rest_of))
+    df = stage(df, left=trim_space(c("rest")), word=F.regexp_extract(c("rest"), r"^([^(:!\n ]*)", 1), head=F.regexp_extract(c("rest"), HEADER, 0), title=F.regexp_extract(c("rest"), HEADER, 3))
+    first_emoji = F.get(c("emojis"), F.lit(0))
+    df = stage(df, initial=F.coalesce((F.size(c("emojis")) == 1) & (first_emoji == "ghost") & c("left").rlike("^Initial [Cc]ommit"), F.lit(False)))
+    df = stage(df, merge=F.coalesce(~c("initial") & (F.size(c("emojis")) >= 1) & (first_emoji == "volcano") & c("left").startswith("Merge "), F.lit(False)))
+    df = stage(df, special=c("initial") | c("merge"), typed=(c("word") != "") & c("rest").rlike(r"^[^(:!\n ]+[(:!]"))
+    df = stage(df, ok=~c("special") & c("typed"))
+    desc = F.when(c("special"), c("left")).when(c("typed"), trim_space(c("title"))).otherwise(F.when(c("word") == "", F.lit("")).otherwise(c("left")))
     # without a type the parser stands still at the word's end: no body is read
-    tail = F.when(ok, F.substring(rest, header_end + 1, F.lit(1 << 30))).otherwise(F.lit(""))
-    lines = F.when(tail.startswith("\n\n"), F.split(F.substring(tail, 3, 1 << 30), "\n")).otherwise(F.array().cast("array<string>"))
+    tail = F.when(c("ok"), F.substring(c("rest"), F.char_length(c("head")) + 1, rest_of)).otherwise(F.lit(""))
+    df = stage(df, desc=desc, tail=tail)
+    df = stage(df, lines=F.when(c("tail").startswith("\n\n"), F.split(F.substring(c("tail"), 3, 1 << 30), "\n")).otherwise(F.array().cast("array<string>")))
     starts = "^(" + "|".join(dims.FOOTER_STARTS) + ")"
-    first = F.aggregate(F.transform(lines, lambda x, i: F.when(x.rlike(starts), i)), F.lit(None).cast("int"), lambda a, x: F.coalesce(a, x))
-    stop = F.coalesce(first, F.size(lines))
-    body = trim_space(F.array_join(F.filter(F.slice(lines, F.lit(1), stop), lambda x: x != ""), "\n"))
-    rest_lines = F.filter(F.slice(lines, stop + 1, F.greatest(F.size(lines) - stop, F.lit(0))), lambda x: x != "")
-    footers = F.filter(F.transform(rest_lines, footer), lambda f: f.isNotNull() & (f["key"] != ""))
-    return {
-        "emojis": emojis,
-        "type": F.when(ok, word).otherwise(F.lit("")),
-        "scope": F.when(ok, F.regexp_extract(rest, header, 1)).otherwise(F.lit("")),
-        "breaking": F.when(ok, F.regexp_extract(rest, header, 2) == "!").otherwise(F.lit(False)),
-        "description": desc,
-        "body": body,
-        "footers": footers,
-        "is_merge": F.coalesce(merge, F.lit(False)),
-        "is_initial": F.coalesce(initial, F.lit(False)),
-        "is_wip": F.when(ok, F.regexp_extract(rest, header, 3).rlike(r"^(?U:\s)*(\[wip\]|\[WIP\])")).otherwise(F.lit(False)),
+    first = F.aggregate(F.transform(c("lines"), lambda x, i: F.when(x.rlike(starts), i)), F.lit(None).cast("int"), lambda a, x: F.coalesce(a, x))
+    df = stage(df, stop=F.coalesce(first, F.size(c("lines"))))
+    rest_lines = F.filter(F.slice(c("lines"), c("stop") + 1, F.greatest(F.size(c("lines")) - c("stop"), F.lit(0))), lambda x: x != "")
+    df = stage(df, notes=F.transform(rest_lines, footer), written=trim_space(F.array_join(F.filter(F.slice(c("lines"), F.lit(1), c("stop")), lambda x: x != ""), "\n")))
+    blank, no = F.lit(""), F.lit(False)
+    parts = {
+        "emojis": c("emojis"),
+        "type": F.when(c("ok"), c("word")).otherwise(blank),
+        "scope": F.when(c("ok"), F.regexp_extract(c("rest"), HEADER, 1)).otherwise(blank),
+        "breaking": F.when(c("ok"), F.regexp_extract(c("rest"), HEADER, 2) == "!").otherwise(no),
+        "description": c("desc"),
+        "body": c("written"),
+        "footers": F.filter(c("notes"), lambda f: f.isNotNull() & (f["key"] != "")),
+        "is_merge": c("merge"),
+        "is_initial": c("initial"),
+        "is_wip": F.when(c("ok"), c("title").rlike(r"^(?U:\s)*(\[wip\]|\[WIP\])")).otherwise(no),
     }
+    return df.select(*(F.col(f"`{k}`") for k in keep if k not in parts), *(v.alias(k) for k, v in parts.items()))
 
 
 def tool_trailer(raw: Column, footers: Column) -> Column:

@@ -15,13 +15,20 @@ def ordered(findings: DataFrame) -> DataFrame:
 
 
 def dedupe_adjacent(findings: DataFrame) -> DataFrame:
-    """Drop a row that equals the one before it, in findings order, on analyzer, file, line and message.
+    """Drop a row that equals the one before it, in findings order, on analyzer, file, line and message, whatever their severities.
 
-    Windowed by (severity, file, line), so no global order is needed for it.
+    Windowed by (severity, file, line), so no global order is needed for it; the first row of a severity is compared with the last of
+    the one above, a row or two for each severity.
     """
     order = W.partitionBy("severity", "file", "line").orderBy("seq")
-    before = F.lag(F.struct("analyzer_id", "message")).over(order)
-    return findings.withColumn("before", before).filter(~F.col("before").eqNullSafe(F.struct("analyzer_id", "message"))).drop("before")
+    same = F.struct("analyzer_id", "message")
+    marked = findings.withColumn("before", F.lag(same).over(order))
+    key, whole = F.struct("file", "line", "seq"), F.struct("analyzer_id", "file", "line", "message")
+    ends = findings.groupBy("severity").agg(F.min_by(whole, key).alias("first"), F.max_by(whole, key).alias("last"))
+    above = ends.withColumn("above", F.lag("last").over(W.orderBy(F.desc("severity")))).filter("first = above")
+    again = F.broadcast(above.select("severity", F.col("first.file").alias("file"), F.col("first.line").alias("line"), F.lit(True).alias("again")))
+    kept = marked.filter(~F.col("before").eqNullSafe(same)).join(again, ["severity", "file", "line"], "left")
+    return kept.filter("again is null or before is not null").select(*findings.columns)
 
 
 def inject_rules(findings: DataFrame, rules: DataFrame) -> DataFrame:

@@ -9,20 +9,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from galleyproof import dims
-from galleyproof.functions.commits import leading_emoji, parse, rule_findings
+from galleyproof.functions.commits import PARTS, leading_emoji, parse, rule_findings
 from galleyproof.functions.text import fnv1a, import_only
 
 
 def parsed(commits: DataFrame, raw: str = "subject") -> DataFrame:
-    m = parse(F.col(raw))
-    return commits.withColumns(m)
+    return parse(commits, raw)
 
 
 def commit_findings(commits: DataFrame, raw: str = "subject") -> DataFrame:
     """Rule violations of each message: its columns, rule_ord, rule, message."""
-    m = parse(F.col(raw))
-    out = commits.withColumns(m)
-    rules = rule_findings(F.col(raw), {k: F.col(k) for k in m})
+    out = parse(commits, raw)
+    rules = rule_findings(F.col(raw), {k: F.col(k) for k in PARTS})
     keep = commits.columns
     return out.select(*keep, F.posexplode(rules).alias("rule_ord", "f")).select(*keep, "rule_ord", "f.rule", "f.message")
 

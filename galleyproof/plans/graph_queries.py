@@ -57,7 +57,7 @@ def layer_boundaries(spark, sf_dir):
 
 
 @query(
-    """with recursive s as (select s_suppkey as id, s_suppkey % 50 = 0 as always_load, [(s_suppkey * 3 + 1) % 100, (s_suppkey * 7 + 2) % 100] as c from supplier where s_suppkey < 100),
+    """with recursive n as (select count(*) as n from supplier), s as (select s_suppkey as id, s_suppkey % 50 = 0 as always_load, [(s_suppkey * 3 + 1) % n, (s_suppkey * 7 + 2) % n] as c from supplier, n),
  e as (select id as src, unnest(c) as dst from s where id <> 7), reach as (select id from s where always_load union select e.dst from reach r join e on e.src = r.id) select id from reach"""
 )
 def skill_closure(spark, sf_dir):

@@ -30,12 +30,15 @@ def once_per_session(spark, sf_dir):
     return K.once_per_session(hook_events(spark, sf_dir), "content").select("session_id", "seq", "content")
 
 
-@query(f"with {_EPOCH} select session_id, seq, lag(content) over (partition by session_id, epoch order by seq) is distinct from content as emitted from eps where mode <> 'session-end'")
+_EMITTED = f"with {_EPOCH} select session_id, seq, lag(content) over (partition by session_id, epoch order by seq) is distinct from content as emitted from eps where mode <> 'session-end'"
+
+
+@query(_EMITTED)
 def first_emission(spark, sf_dir):
     return K.first_emission(hook_events(spark, sf_dir)).select("session_id", "seq", "emitted")
 
 
-@query()
+@query(_EMITTED)
 def stream_first_emission(spark, sf_dir):
     """The streaming form over the same events, read as a stream of files and collected in memory."""
     import shutil

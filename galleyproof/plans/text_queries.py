@@ -63,8 +63,8 @@ def _findings(spark, sf_dir):
 
 
 @query(
-    f"""with {DOC_FILES}, {MARKS}, {_FIND}, seen as (select *, lag(analyzer_id || message) over (partition by severity, file, line order by byte_offset) as before from findings)
- select severity, file, line, message, byte_offset as seq from seen where before is distinct from analyzer_id || message"""
+    f"""with {DOC_FILES}, {MARKS}, {_FIND}, seen as (select *, lag(row(analyzer_id, file, line, message)) over (order by severity desc, file, line, byte_offset) as before from findings)
+ select severity, file, line, message, byte_offset as seq from seen where before is distinct from row(analyzer_id, file, line, message)"""
 )
 def findings_ordered_deduped(spark, sf_dir):
     return N.ordered(N.dedupe_adjacent(_findings(spark, sf_dir))).select("severity", "file", "line", "message", "seq")

@@ -16,7 +16,7 @@ def read_tree(spark: SparkSession, root: str, pattern: str | None = None) -> Dat
         reader = reader.option("pathGlobFilter", pattern)
     raw = reader.load(root)
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
-    path = F.regexp_replace("path", f"^.*?{base}/", "")
+    path = F.col("path").substr(F.instr("path", f"{base}/") + len(base) + 1, F.lit(1 << 30))
     name = F.element_at(F.split(path, "/"), -1)
     ok = F.is_valid_utf8(F.col("content").cast("string"))
     rows = raw.select(path.alias("path"), F.regexp_extract(name, r"(\.[^.]*)$", 1).alias("ext"), name.endswith("_test.go").alias("is_test"), F.col("length").alias("n_bytes"), ok.alias("valid_utf8"), F.when(ok, F.col("content").cast("string")).alias("content"))
