@@ -60,7 +60,8 @@ _D = np.arange(-2040, 2041)
 _K = np.where(_D == 0, 0, np.floor(np.log2(np.maximum(np.abs(_D), 1))).astype(int) + 1)
 _PREFIX = ((1 << (12 - _K)) - 2).astype(np.int64)
 CODE = (((_PREFIX << _K) | np.where(_D < 0, _D + (1 << _K) - 1, _D)) << 1).astype(np.uint16)
-BACK = np.full(1 << BITS, 32767, np.int16)
+NO_CODE = 32767
+BACK = np.full(1 << BITS, NO_CODE, np.int16)
 BACK[CODE] = _D
 
 
@@ -92,12 +93,17 @@ def unpack_scan(scan: bytes, count: int) -> np.ndarray:
     high, low = pair[:, 0], pair[:, 1]
     mask = np.uint64(0x1FFF)
     codes = np.stack([high >> 51, high >> 38, high >> 25, high >> 12, ((high & np.uint64(0xFFF)) << 1) | (low >> 39), low >> 26, low >> 13, low], 1) & mask
-    level = np.cumsum(BACK[codes.reshape(-1).astype(np.int64)], dtype=np.int64) + 1024
+    diff = BACK[codes.reshape(-1).astype(np.int64)]
+    if (diff == NO_CODE).any():
+        raise ValueError("a code that the tables do not have")
+    level = np.cumsum(diff, dtype=np.int64) + 1024
+    if len(level) and (level.min() < 0 or level.max() > 2040 or (level & 7).any()):
+        raise ValueError("a level that is no sample")
     return (level >> 3).astype(np.uint8)
 
 
 def decode_frame(frame: bytes) -> np.ndarray:
-    """Samples of one intra frame; the tables are read from the frame and must be the ones this writer uses."""
+    """Samples of one intra frame. Its tables must be the ones this writer uses: this is no decoder of other writers' frames."""
     if frame[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
     at, size = 2, (0, 0)
@@ -157,11 +163,14 @@ def chunks(data: bytes, at: int, stop: int):
 
 
 def read_avi(data: bytes) -> tuple[np.ndarray, int]:
-    """All samples, and samples in a frame. Frames are found by the index and checked against the chunk they name."""
+    """All samples, and samples in a frame. Frames are found by the index and checked against the chunk they name.
+
+    A comment chunk may say how many samples count; without one all do.
+    """
     name, kind, at, stop = next(chunks(data, 0, len(data)))
     if (name, kind) != (b"RIFF", b"AVI "):
         raise ValueError("not an AVI file")
-    movi, index, count = 0, b"", -1
+    movi, index, count = 0, b"", None
     for name, kind, a, b in chunks(data, at, stop):
         if kind == b"movi":
             movi = a - 4
@@ -169,7 +178,7 @@ def read_avi(data: bytes) -> tuple[np.ndarray, int]:
             index = data[a:b]
         elif kind == b"INFO":
             for tag, _, c, d in chunks(data, a, b):
-                if tag == b"ICMT":
+                if tag == b"ICMT" and data[c:d].startswith(b"samples="):
                     count = int(data[c:d].rstrip(b"\x00").removeprefix(b"samples="))
     frames = []
     for tag, _, offset, size in struct.iter_unpack("<4sIII", index):
@@ -191,15 +200,15 @@ def shots(samples: np.ndarray, per: int) -> list[tuple[int, int]]:
     """Frame ranges of the shots."""
     share = histograms(samples, per)
     change = np.abs(np.diff(share, axis=0)).sum(1) / 2
-    starts, seen = [0], []
+    starts, seen, total, squares = [0], 0, 0.0, 0.0
     for k, x in enumerate(change.tolist(), 1):
-        mean = sum(seen) / len(seen) if seen else 0.0
-        deviation = (sum((y - mean) ** 2 for y in seen) / len(seen)) ** 0.5 if seen else 0.0
+        mean = total / seen if seen else 0.0
+        deviation = max(0.0, squares / seen - mean * mean) ** 0.5 if seen else 0.0
         if x > FLOOR and x > mean + DEVIATIONS * deviation:
             starts.append(k)
-            seen = []
+            seen, total, squares = 0, 0.0, 0.0
         else:
-            seen.append(x)
+            seen, total, squares = seen + 1, total + x, squares + x * x
     return list(zip(starts, [*starts[1:], len(share)], strict=True))
 
 

@@ -54,3 +54,37 @@ def test_damage_is_found():
     media[media.rindex(b"00dc") + 8] ^= 1
     with pytest.raises(ValueError):
         M.read_avi(bytes(media))
+
+
+def test_without_the_comment_all_samples_count():
+    payload = bytes(range(256)) * 5
+    whole = M.write_avi(payload)
+    at = whole.index(b"ICMT")
+    other = whole[:at] + b"ISFT" + whole[at + 4 :]
+    samples, per = M.read_avi(other)
+    assert samples.tobytes()[: len(payload)] == payload and len(samples) % per == 0
+    assert M.read_avi(whole)[0].tobytes() == payload
+
+
+def test_damaged_scans_are_told():
+    import numpy as np
+    import pytest
+
+    samples = np.arange(512, dtype=np.uint8)
+    scan = bytearray(M.pack_scan(samples))
+    assert (M.unpack_scan(bytes(scan), 512) == samples).all()
+    scan[200:202] = b"\x01\x01"
+    with pytest.raises(ValueError):
+        M.unpack_scan(bytes(scan), 512)
+
+
+def test_shots_of_a_long_clip_take_linear_time():
+    import time
+
+    import numpy as np
+
+    samples = np.random.default_rng(1).integers(0, 255, 40_000 * 64, dtype=np.uint8)
+    samples[64 * 20_000 :] //= 8
+    began = time.perf_counter()
+    found = M.shots(samples, 64)
+    assert time.perf_counter() - began < 5 and found[-1][1] == 40_000
