@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -23,7 +24,7 @@ OUT_ROWS, BATCH_ROWS = 1024, 1000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a local one only where that is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -31,6 +32,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     known = spark.sparkContext.getCheckpointDir()
     if known is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "galleyproof-checkpoints"))
         known = spark.sparkContext.getCheckpointDir()
     return known
