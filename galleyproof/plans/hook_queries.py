@@ -41,24 +41,18 @@ def first_emission(spark, sf_dir):
 @query(_EMITTED)
 def stream_first_emission(spark, sf_dir):
     """The streaming form over the same events, read as a stream of files and collected in memory."""
-    import shutil
-    import tempfile
     import uuid
 
-    from galleyproof.operators.graph import cut
+    from galleyproof.operators.graph import cut, shared_folder
     from galleyproof.streaming.emission import first_emission_stream
 
     events = hook_events(spark, sf_dir)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    base = f"{folder}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{base}/in")
     done = first_emission_stream(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
     done.awaitTermination()
-    out = cut(spark.read.schema("session_id string, seq long, mode string, content string, emitted boolean").parquet(f"{base}/out").select("session_id", "seq", "emitted"))
-    if "://" not in base:
-        shutil.rmtree(base, ignore_errors=True)
-    return out
+    return cut(spark.read.schema("session_id string, seq long, mode string, content string, emitted boolean").parquet(f"{base}/out").select("session_id", "seq", "emitted"))
 
 
 @query("""with j as (select event_id, case event_id % 4 when 0 then '{"session_id":"s' || user_id || '","tool_name":"Bash","tool_input":{"command":"rg x","file_path":"a/' || event_id || '.go"}}' when 1 then '{"session_id":"t"}' when 2 then '{bad' else '' end as json from events)
