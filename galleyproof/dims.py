@@ -50,6 +50,10 @@ PROHIBITED_EMOJI = {"robot": "", "test_tube": "tea", "compass": "", "sparkles":
 NON_RENDERING_EMOJI = ("clown_face", "adhesive_bandage", "abacus")
 POOL_GROUPS = ("Objects", "Travel & Places", "Animals & Nature", "Food & Drink", "Activities")
 POOL_SUBGROUPS = ("other-symbol", "warning", "punctuation", "av-symbol", "flag", "monkey-face")
+# Names the catalog takes although their version is after 1.0, subgroups it never takes, joiners in a code point sequence.
+LATE_EMOJI = ("beetle", "egg", "safety_vest", "shopping_cart", "pirate_flag")
+FLAG_SUBGROUPS = ("country-flag", "subdivision-flag")
+JOINER_CODES = "-(200d|fe0f)"
 MAX_EMOJIS, MAX_SUBJECT, MAX_BODY_LINE, MAX_BODY = 3, 72, 100, 150
 HARD_WINDOW, SOFT_WINDOW = 5, 20
 MAX_LINES, TEST_LINE_FACTOR, MAX_COMMENT_LINES = 180, 2.6, 5

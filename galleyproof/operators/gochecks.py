@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 NOISE_WORDS = ("data", "info", "temp", "tmp", "helper", "util", "misc", "stuff", "thing", "manager", "common", "dummy")
 HUNGARIAN_PREFIXES = ("lpstr", "lpsz", "psz", "str", "pfn", "ull", "dw", "sz", "ll", "ul", "us", "ui", "h", "u", "n", "b", "w", "l", "i")
 PLAIN_NUMBERS = ("0", "1", "-1", "0.0", "1.0", "2", "10", "60", "100", "1000", "3600", "86400", "255", "256", "1024", "1025")
+# Names every scope lies in, and the one that may be declared anew.
+BUILTINS = (
+    "true", "false", "nil", "int", "int8", "int16", "int32", "int64", "uint", "uint8", "uint16", "uint32", "uint64", "uintptr", "float32", "float64", "complex64", "complex128", "string", "bool",
+    "byte", "rune", "error", "any", "comparable", "make", "new", "len", "cap", "append", "copy", "delete", "close", "panic", "recover", "print", "println", "real", "imag", "complex", "iota",
+)
+FREE_NAMES = ("ok",)
 MAX_CYCLOMATIC, MAX_FUNC_LINES, TEST_FACTOR, MAX_PARAMS, MAX_NESTING = 15, 80, 1.5, 5, 4
 
 
@@ -89,3 +95,25 @@ def vacuous_doc(facts: DataFrame) -> DataFrame:
 def time_discipline(facts: DataFrame) -> DataFrame:
     hit = facts.filter("(kind = 'call' and name = 'time.Sleep') or kind = 'field'")
     return _row(hit, "time-discipline", F.when(F.col("kind") == "call", "time.Sleep waits on the clock").otherwise("clock injected as a function field"))
+
+
+def shadowing(facts: DataFrame) -> DataFrame:
+    """Local names that hide one of an enclosing scope, and parameters or results that ``:=`` assigns anew in the function's own block.
+
+    Scopes nest, so an earlier declaration encloses a later one just where its scope has not ended: a running maximum of scope ends over
+    the declarations of a name in a function finds it, without comparing pairs.
+    """
+    attr = lambda name: F.col("attrs")[name].cast("long")
+    rows = facts.filter("kind = 'local'").withColumns({"fn": attr("fn"), "pos": attr("pos"), "scope": attr("scope"), "until": attr("until")})
+    signed = facts.filter("kind = 'signature'").select("path", attr("fn").alias("fn"), "name").distinct().withColumn("signed", F.lit(True))
+    rows = rows.join(signed, ["path", "fn", "name"], "left").withColumn("signed", F.coalesce("signed", F.lit(False)))
+    own = W.partitionBy("path", "fn", "name").orderBy("pos")
+    top = F.col("scope") == F.col("fn")
+    again = rows.filter(top & F.col("signed")).withColumn("n", F.row_number().over(own)).filter("n = 1")
+    first = rows.filter(~(top & F.col("signed"))).withColumn("n", F.row_number().over(W.partitionBy("path", "fn", "name", "scope").orderBy("pos"))).filter("n = 1")
+    first = first.withColumn("open", F.max("until").over(own.rowsBetween(W.unboundedPreceding, -1)))
+    builtin = F.col("name").isin(*BUILTINS)
+    outer = F.col("signed") | (F.col("open") >= F.col("pos")) | (F.element_at(F.split("owner", r"\."), -1) == F.col("name"))
+    hidden = first.filter(~F.col("name").isin(*FREE_NAMES) & (builtin | outer))
+    out = _row(hidden, "shadowing", F.concat(F.lit('"'), "name", F.lit('" shadows an outer '), F.when(builtin, "builtin").otherwise("variable")))
+    return out.unionByName(_row(again, "short-decl-reuse", F.concat(F.lit('"'), "name", F.lit('" is reassigned by := in the block that declares it'))))

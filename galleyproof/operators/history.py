@@ -65,6 +65,30 @@ def without_replaced_head(commits: DataFrame, first_line: str, author_epoch: int
     return commits.withColumn("newest", newest).filter(~((F.col("seq") == F.col("newest")) & same)).drop("newest")
 
 
+def heads(commits: DataFrame) -> DataFrame:
+    """repo, subject, author_epoch of each repository's newest commit."""
+    return commits.groupBy("repo").agg(F.max_by(F.struct("subject", "author_epoch"), "seq").alias("h")).select("repo", "h.subject", "h.author_epoch")
+
+
+def in_use(commits: DataFrame, soft: int = dims.SOFT_WINDOW) -> DataFrame:
+    """repo, name of the emoji that lead a repository's last ``soft`` commits."""
+    return last_n(commits, soft).select("repo", leading_emoji(F.col("subject")).alias("name")).filter("name <> ''").distinct()
+
+
+def admitted(shortcodes: DataFrame, meta: DataFrame, uses: DataFrame) -> DataFrame:
+    """name, version, grp, subgroup, uses: shortcodes (name, code_points) that the catalog takes.
+
+    Their meta row (code_points, version, grp, subgroup) is found as written, without joiners, or with a variation selector behind, in
+    this order. Prohibited and non-rendering names and country flags stay out, and so do versions after 1.0 but for a few names.
+    """
+    tries = F.array(F.col("code_points"), F.regexp_replace("code_points", dims.JOINER_CODES, ""), F.concat("code_points", F.lit("-fe0f")))
+    keys = shortcodes.select("name", F.posexplode(tries).alias("k", "code_points"))
+    found = keys.join(meta, "code_points").groupBy("name").agg(F.min_by(F.struct("version", "grp", "subgroup"), "k").alias("m")).select("name", "m.*")
+    fit = ~F.col("name").isin(*dims.PROHIBITED_EMOJI, *dims.NON_RENDERING_EMOJI) & ~F.col("subgroup").isin(*dims.FLAG_SUBGROUPS)
+    kept = found.filter(fit & ((F.col("version") <= 1.0) | F.col("name").isin(*dims.LATE_EMOJI)))
+    return kept.join(uses.select("name", "uses"), "name", "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+
+
 def usage(commits: DataFrame) -> DataFrame:
     """Counts by emoji and by type and emoji, in one grouping-sets pass."""
     shown = parsed(commits).select("type", F.explode("emojis").alias("emoji"))
@@ -95,12 +119,14 @@ def banded_draw(ranked: DataFrame, want: int, seed: Column | str, group: str) ->
     return ranked.withColumn("size", n).filter((F.col("size") <= want) | inside).drop("size")
 
 
-def suggest(tiers: DataFrame, want: int, seed: Column | str, group: str = "query") -> DataFrame:
+def suggest(tiers: DataFrame, want: int, seed: Column | str, group: str = "query", exclude: DataFrame | None = None) -> DataFrame:
     """Fill ``want`` places per group from tiers (group, tier, rank, name), in order; an item counts in its first tier.
 
     The first tier gives half of the places and one at most; each tier is drawn by bands. ``want`` is small, so the few steps are
-    unrolled into one plan.
+    unrolled into one plan. ``exclude`` (group, name) are items that a group's recent and current messages use: they take no place.
     """
+    if exclude is not None:
+        tiers = tiers.join(exclude.select(group, "name").distinct(), [group, "name"], "left_anti")
     first = tiers.withColumn("best", F.min("tier").over(W.partitionBy(group, "name"))).filter("tier = best").drop("best")
     picks: list[DataFrame] = []
     taken = None

@@ -48,8 +48,8 @@ def per_file_gate(events: DataFrame, path: str = "file_path") -> DataFrame:
 
 def searches_source(rows: DataFrame) -> DataFrame:
     """``searches``: whether a tool call looks at Go files."""
-    names = F.exists(F.array("pattern", "glob", "path"), lambda x: x.contains(".go"))
-    head = F.regexp_extract("command", r"^\s*(\S+)", 1)
+    names = F.exists(F.array("pattern", "glob", "path"), lambda x: F.lower(x).contains(".go"))
+    head = F.regexp_extract("command", r"^\s*(?:\S*/)?([^\s/]+)(?:\s|$)", 1)
     return rows.withColumn("searches", names | ((F.col("tool_name") == "Bash") & head.isin("grep", "rg", "ag", "find")))
 
 

@@ -137,6 +137,64 @@ def lint_issues(rows: DataFrame, out: str = "stdout") -> DataFrame:
     return issue.select(*rows.columns, F.concat(F.lit("golangci-lint/"), "i.FromLinter").alias("analyzer_id"), severity.alias("severity"), up.alias("file"), F.col("i.Pos.Line").cast("long").alias("line"), F.col("i.Text").alias("message"), outside.alias("escaped"))
 
 
+# Linters that the run turns on whatever the configuration says, and exit codes that mean findings.
+FORCED_LINTERS = ("nolintlint", "paralleltest", "tparallel", "thelper", "forcetypeassert", "nilerr")
+LINT_EXITS = (1, 7)
+
+
+def lint_findings(runs: DataFrame) -> DataFrame:
+    """Findings of linter runs (run, exit_code, stdout, stderr): run, analyzer_id, severity, file, line, message.
+
+    An exit code that does not mean findings, or output without readable JSON, gives one failure row. Issues outside the project are
+    not findings but are counted in one row of their own.
+    """
+    bad = ~F.coalesce(F.col("exit_code"), F.lit(0)).isin(0, *LINT_EXITS)
+    body = F.from_json(F.regexp_extract("stdout", r"(?s)(\{.*\})", 1), LINT)
+    reason = F.when(bad, F.concat(F.lit("golangci-lint failed: "), F.coalesce("stderr", F.lit("")))).when(body.isNull(), "failed to parse golangci-lint output")
+    rows = runs.withColumn("reason", reason)
+    row = lambda severity, message: [F.lit("golangci-lint").alias("analyzer_id"), F.lit(severity).alias("severity"), F.lit("").alias("file"), F.lit(0).cast("long").alias("line"), message.alias("message")]
+    failed = rows.filter("reason is not null").select("run", *row(2, F.col("reason")))
+    issues = lint_issues(rows.filter("reason is null").select("run", "stdout"))
+    out = issues.filter("escaped").groupBy("run").agg(F.count("*").alias("n"))
+    gone = out.select("run", *row(1, F.concat(F.lit("dropped "), F.col("n").cast("string"), F.lit(" finding(s) naming files outside the analysed project"))))
+    return issues.filter("not escaped").select("run", "analyzer_id", "severity", "file", "line", "message").unionByName(failed).unionByName(gone)
+
+
+def disabled_forced(configs: DataFrame) -> DataFrame:
+    """path, ord, linter: forced linters that a configuration (path, disable array) turns off."""
+    return configs.select("path", F.posexplode("disable").alias("ord", "linter")).filter(F.col("linter").isin(*FORCED_LINTERS))
+
+
+def flag_problems(flags: DataFrame) -> DataFrame:
+    """flag, value, want of flags (flag, value) whose value is not of its kind; an empty severity, preset or type list is fine."""
+    wants = {
+        "severity": (r"^(error|info|warning)?$", "error|info|warning"), "extra-types": (r"^([a-z0-9-]+(,[a-z0-9-]+)*)?$", "a comma-separated list of lowercase names"),
+        "scope": (r"^(full|changed|commit)$", "full|changed|commit"), "preset": (r"^(minimal|recommended|strict)?$", "minimal|recommended|strict"),
+    }
+    want = F.create_map(*(F.lit(x) for k, (_, text) in wants.items() for x in (k, text)))
+    bad = F.lit(False)
+    for flag, (pattern, _) in wants.items():
+        bad = bad | ((F.col("flag") == flag) & ~F.coalesce("value", F.lit("")).rlike(pattern))
+    return flags.filter(bad).select("flag", "value", want[F.col("flag")].alias("want"))
+
+
+def id_problems(rows: DataFrame, order: str = "path") -> DataFrame:
+    """kind, id, path, problem of documents (kind, id, path) with an empty id, or with one that an earlier document of the kind has."""
+    blank = F.coalesce(F.col("id"), F.lit("")) == ""
+    twice = F.row_number().over(W.partitionBy("kind", "id").orderBy(order)) > 1
+    return rows.withColumn("twice", twice).select("kind", "id", "path", F.when(blank, "empty id").when(F.col("twice"), "duplicate id").alias("problem")).filter("problem is not null")
+
+
+def unknown_overrides(profiles: DataFrame, skills: DataFrame) -> DataFrame:
+    """profile, skill of overrides (profile, id) of skills (id) that there are not."""
+    return profiles.join(skills.select("id"), "id", "left_anti").select("profile", F.col("id").alias("skill"))
+
+
+def grade_totals(graded: DataFrame) -> DataFrame:
+    """passed, machine, judge by artifact and scenario, by artifact, and over all (scenario, then artifact null)."""
+    return graded.rollup("artifact", "scenario").agg(*(F.sum(c).alias(c) for c in ("passed", "machine", "judge")))
+
+
 def list_selection(spec: str, size: int) -> list[int]:
     """Numbers of ``1,4,7-9`` or ``a`` (all); blank is none; each once, in order. Out of range is an error."""
     spec = spec.strip()

@@ -73,6 +73,7 @@ SPECS = [
     Spec("big-comment", STATIC, ALL, lambda f, p: _file_only(O.big_comment(f, positive(p, "max_lines", 5)), "big-comment", 1, "")),
     Spec("simplification-path", STATIC, ALL, lambda f, p: _file_only(O.simplification_path(f), "simplification-path", 1, "simplification comment names no upgrade path")),
     Spec("control-flow", AST, ALL, lambda f, p: _go(C.control_flow(f, positive(p, "max_depth", C.MAX_NESTING)), 1), True),
+    Spec("shadowing", AST, ALL, lambda f, p: _go(C.shadowing(f), 1), True),
     Spec("complexity", AST, ALL, lambda f, p: _go(C.complexity(f), 1).unionByName(_go(C.magic_numbers(f), 0)), True),
     Spec("named-returns", AST, ALL, lambda f, p: _go(C.named_returns(f), 1), True),
     Spec("vacuous-doc", AST, ALL, lambda f, p: _go(C.vacuous_doc(f), 1), True),

@@ -3,7 +3,8 @@
 Facts (path, kind, name, line, ord, owner, attrs): ``import``; ``func`` (attrs: open and close line, exported, doc, returns one plain
 value); ``param``, ``result``, ``short``, ``var``, ``const``, ``type`` declarations; ``branch`` (decision points of a function);
 ``number`` (literals outside constants); ``call`` (selector calls); ``depth`` (deepest block of a function); ``else`` (first exit
-statement in an else block); ``field`` (function-typed struct fields).
+statement in an else block); ``field`` (function-typed struct fields); ``local`` (a name declared in a body: attrs ``fn``, ``pos``, and
+``scope`` to ``until``, the token range of the scope it stands in) and ``signature`` (receiver, parameter and result names of a body).
 """
 
 from __future__ import annotations
@@ -198,12 +199,15 @@ class Parser:
         if k >= len(t) or t[k][1] != "(":
             return k
         end = self.close(k)
-        for p, kind in self.fields(k, end):
+        signature = self.fields(k, end)
+        for p, kind in signature:
             self.add("param", p, line, owner, type=kind)
         k = end + 1
         if k < len(t) and t[k][1] == "(":
             end = self.close(k)
-            for p, kind in self.fields(k, end):
+            results = self.fields(k, end)
+            signature = signature + results
+            for p, kind in results:
                 self.add("result", p, line, owner, type=kind)
             k = end + 1
         else:
@@ -219,9 +223,86 @@ class Parser:
         inner = [x for x in t[k + 1 : end] if x[1] != ";"]
         plain = bool(inner) and inner[0][1] == "return" and 2 <= len(inner) and all(x[0] in ("ident", "number", "string") or x[1] == "." for x in inner[1:]) and sum(x[1] == "return" for x in inner) == 1
         self.add("func", name, line, owner, open=t[k][2], close=t[end][2], doc=self.doc(line), plain=plain)
+        for x in [*(self.fields(i + 1, self.close(i + 1)) if receiver else []), *signature]:
+            if x[0] not in ("", "_"):
+                self.add("signature", x[0], line, owner, fn=k)
         self.body(k, end, owner)
+        self.locals(k, end, owner)
         return end + 1
 
+    def header_end(self, k: int, b: int) -> int | None:
+        """Index of the brace that opens the body behind a control keyword; a literal's brace is followed by more of the header."""
+        j = k + 1
+        while j < b:
+            if self.t[j][0] == "op" and self.t[j][1] in ("(", "[", "{"):
+                stop = self.close(j)
+                if self.t[j][1] == "{" and (stop + 1 >= b or self.t[stop + 1][1] in (";", "else", "}")):
+                    return j
+                j = stop
+            j += 1
+        return None
+
+    def clauses(self, a: int, b: int) -> dict[int, int]:
+        """Start and end of the clauses between two braces."""
+        starts, k = [], a + 1
+        while k < b:
+            if self.t[k][0] == "op" and self.t[k][1] in ("(", "[", "{"):
+                k = self.close(k)
+            elif self.t[k][0] == "ident" and self.t[k][1] in ("case", "default"):
+                starts.append(k)
+            k += 1
+        return dict(zip(starts, [*starts[1:], b], strict=True))
+
+    def locals(self, a: int, b: int, owner: str) -> None:
+        """Declarations of a body with their scopes; function literals and other braces are skipped whole."""
+        t, k = self.t, a + 1
+        scopes = [(a, b)]
+        blocks: set[int] = set()
+        bodies: set[int] = set()  # of switch and select: their clauses are the scopes
+        clauses: dict[int, int] = {}
+        while k < b:
+            while len(scopes) > 1 and scopes[-1][1] <= k:
+                scopes.pop()
+            kind, text, _ = t[k]
+            starts = t[k - 1][1] in (";", "{", "}", ":")
+            declared: list[tuple[str, int]] = []
+            if k in clauses:
+                scopes.append((k, clauses[k]))
+            elif kind == "ident" and text in ("if", "for", "switch", "select"):
+                if (j := self.header_end(k, b)) is not None:
+                    stop = self.close(j)
+                    (bodies if text in ("switch", "select") else blocks).add(j)
+                    while stop + 2 < b and t[stop + 1][1] == "else":
+                        at = stop + 2 if t[stop + 2][1] == "{" else self.header_end(stop + 2, b)
+                        if at is None:
+                            break
+                        blocks.add(at)
+                        stop = self.close(at)
+                    scopes.append((k, stop))
+            elif text == "{" and kind == "op":
+                if k in bodies:
+                    clauses |= self.clauses(k, self.close(k))
+                elif k in blocks or starts:
+                    scopes.append((k, self.close(k)))
+                else:
+                    k = self.close(k)
+            elif kind == "ident" and text in ("const", "var", "type") and starts:
+                before = len(self.rows)
+                self.spec(k, owner)
+                declared = [(r[2], r[3]) for r in self.rows[before:] if r[1] in ("const", "var", "type")]
+                del self.rows[before:]
+            elif text == ":=":
+                j = k - 1
+                while j > a and t[j][0] == "ident":
+                    declared.insert(0, (t[j][1], t[j][2]))
+                    if t[j - 1][1] != ",":
+                        break
+                    j -= 2
+            for n, (name, line) in enumerate(declared):
+                if name != "_":
+                    self.add("local", name, line, owner, fn=a, pos=k * 1000 + n, scope=scopes[-1][0], until=scopes[-1][1] * 1000)
+            k += 1
+
     def body(self, a: int, b: int, owner: str) -> None:
         t = self.t
         depth = deepest = 0

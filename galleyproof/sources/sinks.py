@@ -48,8 +48,9 @@ def write_tsv(rows: DataFrame, target: str, *order) -> None:
     rows.orderBy(*order).write.mode("overwrite").option("sep", "\t").option("header", "false").csv(target)
 
 
-def status_text(changes: DataFrame) -> DataFrame:
-    """One text of change lines in path order, for each repository."""
-    line = F.concat("staging", "worktree", F.lit(" "), "path")
-    listed = F.array_sort(F.collect_list(F.struct("path", line.alias("line"))))
+def status_text(changes: DataFrame, order: str = "path") -> DataFrame:
+    """One text of change lines for each repository, in ``order``; a rename shows both paths."""
+    old = F.col("old_path") if "old_path" in changes.columns else F.lit("")
+    line = F.concat("staging", "worktree", F.lit(" "), F.when(F.coalesce(old, F.lit("")) != "", F.concat(old, F.lit(" -> "))).otherwise(""), "path")
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line"))))
     return changes.groupBy("repo").agg(F.array_join(F.transform(listed, lambda s: s["line"]), "\n").alias("text"))
