@@ -75,22 +75,22 @@ def mark_findings(files: DataFrame) -> DataFrame:
     return marks.select(F.lit("text-markers").alias("analyzer_id"), F.when(soft, dims.WARNING).otherwise(dims.ERROR).alias("severity"), F.lit("syntax").alias("category"), F.col("path").alias("file"), "line", _mark_message().alias("message"), advice.alias("suggestion"), "byte_offset")
 
 
+#: A fenced block, a run of lines without backticks, or one other line; laid end to end they are the whole text.
+PIECE = (
+    r"[ \t]*+(`{3,}+|~{3,}+)[^\n]*+(?:\n(?![ \t]*+\1)[^\n]*+)*+(?:\n[ \t]*+\1[^\n]*+)?+\n?"
+    r"|(?:(?![ \t]*+~{3})[^\n`]*+\n)++|[^\n]++\n?"
+)
+
+
 def code_regions(files: DataFrame) -> DataFrame:
     """path, start, end (bytes): fenced blocks and inline code spans of markdown.
 
     A fence is three or more backticks or tildes; its like, as long or longer, closes it; an unclosed one runs to the end.
     """
-    step = "named_struct('line', x, 'bytes', octet_length(x) + 1, 'mark', regexp_extract(x, '^[ \\\\t]*(`{3,}|~{3,})', 1))"
-    rows = files.select("path", F.expr(f"transform(split(content, '\\n'), x -> {step})").alias("rows"))
-    # state: (offset, open fence or '', regions); fenced lines are regions of their own
-    state = F.expr(
-        """aggregate(rows, named_struct('at', 0L, 'open', '', 'out', cast(array() as array<struct<line:string,at:bigint,fenced:boolean,bytes:bigint>>)),
-        (s, r) -> named_struct(
-          'at', s.at + r.bytes,
-          'open', case when s.open = '' then r.mark when r.mark <> '' and left(r.mark, 1) = left(s.open, 1) and length(r.mark) >= length(s.open) then '' else s.open end,
-          'out', if(s.open = '' and r.mark = '' and not contains(r.line, '`'), s.out, concat(s.out, array(named_struct('line', r.line, 'at', s.at, 'fenced', s.open <> '' or r.mark <> '', 'bytes', cast(r.bytes as bigint)))))))"""
-    )
-    found = rows.select("path", F.explode(state["out"]).alias("r")).select("path", "r.*")
+    pieces = F.regexp_extract_all("content", F.lit(PIECE), 0)
+    rows = files.select("path", F.posexplode(pieces).alias("pos", "line")).withColumn("bytes", F.octet_length("line").cast("long"))
+    before = W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    found = rows.withColumns({"at": F.coalesce(F.sum("bytes").over(before), F.lit(0)), "fenced": F.col("line").rlike(r"\A[ \t]*(`{3}|~{3})")}).filter(F.col("fenced") | F.col("line").contains("`"))
     fenced = found.filter("fenced").select("path", F.col("at").alias("start"), (F.col("at") + F.col("bytes")).alias("end"))
     spans = F.regexp_extract_all("line", F.lit(r"((?:.*?)(?<!`))(`+)(?!`)(.*?)(?<!`)\2(?!`)"), 0)
     inline = found.filter("not fenced").select("path", "at", F.posexplode(spans).alias("ord", "part"))
