@@ -90,8 +90,9 @@ def rule_findings(raw: Column, m: dict[str, Column]) -> Column:
         return F.when(condition, F.array(F.struct(F.lit(rule).alias("rule"), (F.lit(message) if isinstance(message, str) else message).alias("message")))).otherwise(F.array().cast("array<struct<rule:string,message:string>>"))
 
     n = F.size(m["emojis"])
-    after = trim_space(F.regexp_replace(trim_space(raw), PREFIX, ""))
-    is_initial, is_merge = after.rlike("^Initial [Cc]ommit"), after.startswith("Merge ")
+    # one look each at what follows the prefix, without making it
+    body = trim_space(raw)
+    is_initial, is_merge = body.rlike(f"{PREFIX}(?U:\\s)*Initial [Cc]ommit"), body.rlike(f"{PREFIX}(?U:\\s)*Merge ")
     first = F.get(m["emojis"], F.lit(0))
     initial = hit(F.coalesce((n != 1) | (first != "ghost"), F.lit(True)), "commit-initial", "initial commit must be :ghost: Initial Commit")
     merge = hit(F.coalesce((n < 1) | (first != "volcano"), F.lit(True)), "commit-merge", "merge commit must start with :volcano:")

@@ -42,9 +42,13 @@ _J = f"[{char_class(dims.JOINERS)}]"
 FLANKED_JOINER = f"{_J}(?<=[\\x00-\\x7E]{_J})(?=[\\x00-\\x7E])"
 
 
+#: All characters of the property White_Space.
+WHITE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def trim_space(c: Column) -> Column:
-    """Trim all Unicode white space."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Trim all Unicode white space; looks at the ends only."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def clean(c: Column) -> Column:
@@ -114,7 +118,9 @@ def words(c: Column) -> Column:
 
 
 def has_word(c: Column, word: str) -> Column:
-    return F.array_contains(words(c), word)
+    """Whether ``word`` is among the words, found without making them all."""
+    whole = word.isascii() and word.isalnum() and word == word.lower()
+    return F.lower(c).rlike(f"(?<![a-z0-9]){word}(?![a-z0-9])") if whole else F.when(c.isNotNull(), False)
 
 
 def starts_any(c: Column, keyword: Column) -> Column:
