@@ -67,3 +67,17 @@ check(
     "go_shadowing", C.shadowing, (21, "'\"len\" shadows an outer builtin'", "k % 3 = 1"), (22, "'\"a\" shadows an outer variable'", "k % 4 = 1"),
     (22, "'\"t\" shadows an outer variable'", "k % 4 = 0 and k % 3 = 0"), (37, "'\"a\" is reassigned by := in the block that declares it'", "true"),
 )
+
+
+def go_limits(spark, sf_dir):
+    """Length and parameter count of one function for each part; test files may be longer."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("int")
+    params = F.array_join(F.transform(F.sequence(F.lit(0), size % 9), lambda i: F.concat(F.lit("p"), i)), ", ")
+    body = F.concat(F.lit("package a\nfunc F("), params, F.lit(" int) {\n"), F.repeat(F.lit("x()\n"), size * 4), F.lit("}\n"))
+    path = F.concat(F.lit("src/"), k, F.when(k % 2 == 0, "_test.go").otherwise(".go"))
+    return C.complexity(cut(go_facts(table(spark, sf_dir, "part").select(path.alias("path"), F.lit(".go").alias("ext"), body.alias("content"))))).select("file", "line", "message")
+
+
+QUERIES["go_limits"] = go_limits
+ORACLE_SQL["go_limits"] = """with f as (select 'src/' || p_partkey || case when p_partkey % 2 = 0 then '_test.go' else '.go' end as file, p_size * 4 + 2 as n, p_size % 9 + 1 as p, case when p_partkey % 2 = 0 then 120 else 80 end as most from part)
+ select file, 2::bigint as line, 'F is ' || n || ' lines' as message from f where n > most union all select file, 2::bigint, 'F has ' || p || ' parameters' from f where p > 5"""
