@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from galleyproof.operators.graph import unsized
+
 #: Text bytes that one chunk of an Arrow map gathers before it is worked on. Bounds a worker's memory; results do not depend on it.
 CHUNK_BYTES = 8 << 20
 #: Rows of one emitted Arrow batch, and of one that a worker is sent.
@@ -42,7 +44,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and cut its lineage."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return unsized(df.checkpoint(eager=True))
 
 
 _held: dict[object, object] = {}

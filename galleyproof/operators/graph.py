@@ -21,6 +21,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named or spark.sparkContext.getCheckpointDir()
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """A checkpointed ``df`` of unknown size to the planner, instead of the size guessed from the plan it came from.
+
+    A guess is taken from compressed files, and so is far too small where Python makes many rows of one: a join would broadcast them.
+    It is also multiplied at every join, so in a loop its digits double with each step, until the driver cannot hold them.
+    """
+    spark, plan = df.sparkSession, df._jdf.logicalPlan()
+    classes, none = spark._jvm.org.apache.spark.sql, spark._jvm.scala.Option.empty()
+    known = classes.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), spark._jsparkSession, none, none)
+    return DataFrame(classes.classic.Dataset.ofRows(spark._jsparkSession, known), spark)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint into the shared folder."""
     shared_folder(df.sparkSession)

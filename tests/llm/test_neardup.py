@@ -117,3 +117,14 @@ def test_runs_of_the_sorted_paths(spark):
     got = {r.node: r.comp for r in graph.components(neardup.ties(frame, 2)).collect()}
     assert set(got) == set(paths) and len(set(got.values())) == 1
     assert neardup.ties(frame.limit(0), 2).count() == 0
+
+
+def test_a_long_chain_leaves_the_plan_small(spark):
+    # the size that a join is thought to give was multiplied in every step; its digits filled the driver
+    rng = np.random.default_rng(7)
+    chain = [int(x) for x in rng.permutation(3000)]
+    comps = graph.components(spark.createDataFrame(list(zip(chain[:-1], chain[1:], strict=True)), "a long, b long"))
+    assert comps._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 64
+    rows = comps.collect()
+    assert {r["node"] for r in rows} == set(chain)
+    assert len({r["comp"] for r in rows}) == 1
