@@ -52,3 +52,14 @@ def test_facts_and_checks(spark):
     assert found(C.named_returns(facts)) == [(18, "Two repeats an unnamed result type")]
     assert found(C.vacuous_doc(facts)) == [(14, "doc on Name restates it")]
     assert found(C.time_discipline(facts)) == [(10, "clock injected as a function field"), (28, "time.Sleep waits on the clock")]
+
+
+def test_naming_of_many_files_is_not_broadcast(spark, tmp_path):
+    # a small Parquet file can make very many fact rows, so its size says nothing about theirs
+    from galleyproof.plans import go_queries
+
+    spark.range(300).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    found = go_queries.QUERIES["go_naming"](spark, str(tmp_path))
+    assert "BroadcastExchange" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert found.count() == 300 * 2 + 150 * 2 + 75 * 3
