@@ -388,7 +388,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with repeated passages removed from the text; characters that a cut would split go as a whole. Columns as in ``docs``."""
-    carried = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    # the text travels once, beside the other columns
+    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row"), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     out_type = T.StructType([carried.schema["row"], T.StructField("text", T.StringType())])
 
     def finish(table, text, offsets, covered):

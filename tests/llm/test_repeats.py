@@ -87,3 +87,12 @@ def test_suffix_arrays_of_names_and_runs():
 def test_a_megabyte_of_equal_bytes():
     n = 1 << 20
     assert (induced.suffix_array(np.full(n, 32, np.uint8)) == np.arange(n - 1, -1, -1)).all()
+
+
+def test_a_text_is_carried_once(spark, monkeypatch):
+    # batches held the text twice: in its row and beside it
+    seen, cover = [], repeats.cover
+    monkeypatch.setattr(repeats, "cover", lambda docs, *rest, **options: seen.append(docs) or cover(docs, *rest, **options))
+    docs = spark.createDataFrame([(1, "en", "x" * 60), (2, "de", "x" * 60)], "doc_id long, lang string, text string")
+    assert {tuple(r) for r in repeats.remove_repeats(docs).collect()} == {(1, "en", "x" * 60), (2, "de", "")}
+    assert seen[0].schema["row"].dataType.names == ["doc_id", "lang"]
